@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is heavy when it fills at least this share of the rows, so there are never more than 1/HEAVY_SHARE of them.
@@ -93,3 +93,14 @@ def clean_relation(c: Column | str = "relation") -> Column:
 
 def not_blank(c: str) -> Column:
     return F.col(c).isNotNull() & (F.col(c) != "")
+
+
+def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """Adds the row's 0-based position in the order of ``order``, by sorted ranges rather than in one window."""
+    scratch = Scratch(df.sparkSession)
+    ranged = scratch.save(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row a range
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.withColumn("_at", inside).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
