@@ -53,6 +53,16 @@ def transitive_dependencies(graph: Graph, mode: str = "transitive") -> DataFrame
     return _edges(_without_existing(pairs, graph), "depends_on", 0.4, "inferred:transitive-dependency")
 
 
+def codependent_groups(graph: Graph) -> DataFrame:
+    """shared, member, group_size: the ids that depend on one id, in linear form; every two of a group are codependent.
+
+    The pairs themselves (``transitive_dependencies`` with mode codependent) are quadratic in a hub's dependents.
+    """
+    dep = graph.edges.where(F.col("relation").isin(*DEPENDENCIES)).select("source", "target").distinct()
+    size = dep.groupBy("target").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    return join_unique(dep, size, "target", "inner", heavy_keys(dep, "target")).select(F.col("target").alias("shared"), F.col("source").alias("member"), "group_size")
+
+
 def shared_context(graph: Graph, least: int = 3) -> DataFrame:
     """Edges between ids with ``least`` or more common neighbours; hubs of more than 64 neighbours share nothing."""
     adj = adjacency(graph)

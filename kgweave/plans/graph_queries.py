@@ -114,7 +114,7 @@ def transitive_dependencies(spark, d):
 
 
 def codependents(spark, d):
-    return infer.transitive_dependencies(stored(spark, d), "codependent").select(*_INFERRED)
+    return infer.codependent_groups(stored(spark, d))
 
 
 def shared_context_dense(spark, d):
@@ -361,7 +361,7 @@ ORACLE = {
         SELECT c1 AS source, c2 AS target, sum(k)::BIGINT AS n_edges, string_agg(source, ',' ORDER BY source) FILTER (rn <= 5) AS bridges FROM u GROUP BY 1, 2""",
     "hyperedge_members": "WITH m AS (SELECT DISTINCT id, relation, unnest(nodes) AS node_id FROM hyperedges) SELECT id, relation, node_id, node_id IN (SELECT id FROM nodes WHERE id IS NOT NULL) AS has_node FROM m",
     "transitive_dependencies": f"WITH {G}, {_DEP} {_TRANS}",
-    "codependents": f"WITH {G}, {_DEP} {_TRANS.replace('a.target = b.source', 'a.target = b.target').replace('a.source, b.target', 'a.source, b.source AS target')}",
+    "codependents": f"WITH {G}, {_DEP}, k AS (SELECT target, count(*) AS n FROM dep GROUP BY 1) SELECT target AS shared, source AS member, n AS group_size FROM dep JOIN k USING (target) WHERE n > 1",
     "shared_context_dense": _shared(3),
     "shared_context_maximum": _shared(2),
     "community_bridges": f"WITH {G}, {_CENTRE} {_BRIDGE}",
