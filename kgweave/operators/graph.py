@@ -35,13 +35,13 @@ def _pick(df: DataFrame, keys: Sequence[str], rank: Sequence[Column]) -> DataFra
 def merge_nodes(nodes: DataFrame, seq: str = "extraction_seq") -> DataFrame:
     """One row an id: of several extractions the earliest wins, within one the greatest row (the last of a sorted run)."""
     rows = nodes.where(not_blank("id"))
-    return _pick(rows, ["id"], [-F.col(seq), *(F.col(c) for c in NODE_ORDER)])
+    return _pick(rows, ["id"], [-F.col(seq), *(F.col(c) for c in NODE_ORDER if c in rows.columns)])
 
 
 def build_edges(edges: DataFrame, seq: str = "extraction_seq") -> DataFrame:
     """One row an ordered pair: the latest extraction wins whatever its relation; relations in canonical form, blank ends left out."""
     rows = edges.where(not_blank("source") & not_blank("target")).withColumn("relation", clean("relation"))
-    return _pick(rows, ["source", "target"], [F.col(seq), *(F.col(c) for c in EDGE_ORDER)])
+    return _pick(rows, ["source", "target"], [F.col(seq), *(F.col(c) for c in EDGE_ORDER if c in rows.columns)])
 
 
 def build_graph(nodes: DataFrame, edges: DataFrame, directed: bool = False) -> Graph:

@@ -27,10 +27,14 @@ BUCKET_ROWS = 50_000
 PEEL_SHARE = 0.1
 
 
+def all_links(edges: DataFrame, relations=RELATIONS) -> DataFrame:
+    """source, target: the distinct links with two ends."""
+    return edges.where(clean_relation().isin(*relations) & not_blank("source") & not_blank("target")).select("source", "target").distinct()
+
+
 def parent_links(edges: DataFrame, relations=RELATIONS) -> DataFrame:
     """node, parent: one row a child. Of several parents the smallest id is kept (the hierarchy is a forest)."""
-    rows = edges.where(clean_relation().isin(*relations) & not_blank("source") & not_blank("target"))
-    return rows.groupBy(F.col("target").alias("node")).agg(F.min("source").alias("parent"))
+    return all_links(edges, relations).groupBy(F.col("target").alias("node")).agg(F.min("source").alias("parent"))
 
 
 def _buckets(n: int) -> int:
@@ -131,10 +135,11 @@ def hierarchy(edges: DataFrame, relations=RELATIONS) -> DataFrame:
     """
     spark = edges.sparkSession
     scratch = Scratch(spark)
-    links = scratch.save(parent_links(edges, relations))
+    raw = scratch.save(all_links(edges, relations))
+    links = scratch.save(raw.groupBy(F.col("target").alias("node")).agg(F.min("source").alias("parent")))
     total = links.count()
     heavy = heavy_keys(links, "parent", total=total)
-    tops = links.select(F.col("parent").alias("node")).distinct().join(links.select("node"), "node", "left_anti")
+    tops = raw.select(F.col("source").alias("node")).distinct().join(links.select("node"), "node", "left_anti")
     core = scratch.save(
         links.select("node", "parent").unionByName(tops.select("node", F.lit(None).cast("string").alias("parent"))).withColumn("acc", F.lit(0).cast("bigint"))
     )
