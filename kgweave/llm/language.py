@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -80,8 +81,11 @@ def _repair(m: re.Match) -> str:
 
 def plain(word: str) -> str:
     """Lower case without accents, so that decomposed and damaged forms agree."""
-    if word.isascii():
-        return word.lower()
+    return word.lower() if word.isascii() else _unaccented(word)
+
+
+@lru_cache(maxsize=100_000)
+def _unaccented(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c)).replace("�", "")
 
 

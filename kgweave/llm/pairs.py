@@ -64,6 +64,11 @@ _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _ENDS = re.compile(r"[.!?。]+[\"'”»’)\]*_]*$|[.!?]`$")
 _SENTENCE = re.compile(r"[.!?]+[\"'”»’)]*(?=\s|$)|\n+")
 _TEMPLATES = [t.split() for ts in REFUSALS.values() for t in ts.split("|")]
+#: word -> [(template, times in it)]
+_TEMPLATES_OF: dict[str, list[tuple[int, int]]] = {}
+for _k, _t in enumerate(_TEMPLATES):
+    for _w, _n in Counter(_t).items():
+        _TEMPLATES_OF.setdefault(_w, []).append((_k, _n))
 
 
 def norm(text: str) -> list[str]:
@@ -107,9 +112,14 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
 
 def _refuses(words: list[str]) -> bool:
     """A sentence aligns with a template: nearly all its words in order, within a stretch not much longer."""
-    for t in _TEMPLATES:
+    met: Counter = Counter()
+    for w in set(words):
+        for k, n in _TEMPLATES_OF.get(w, ()):
+            met[k] += n
+    for k, n in met.items():
+        t = _TEMPLATES[k]
         need = TEMPLATE_SHARE * len(t)
-        if len(words) < need or sum(w in words for w in t) < need:
+        if n < need or len(words) < need:
             continue
         for s in range(max(1, len(words) - len(t) + 1)):
             if lcs(t, words[s : s + len(t) + 1]) >= need:
@@ -118,8 +128,10 @@ def _refuses(words: list[str]) -> bool:
 
 
 def is_refusal(question: list[str], text: str) -> bool:
+    asked = set(question)
     parts = [norm(p) for p in _SENTENCE.split(text)]
-    parts = [p for p in parts if p and not (len(p) >= 3 and lcs(question, p) >= COPY_SHARE * len(p))]
+    # a repeated prompt is no answer; few sentences share enough words for the alignment to be worth it
+    parts = [p for p in parts if p and not (len(p) >= 3 and sum(w in asked for w in p) >= COPY_SHARE * len(p) and lcs(question, p) >= COPY_SHARE * len(p))]
     no = [_refuses(p) for p in parts]
     return any(no) and sum(len(p) for p, x in zip(parts, no) if not x) <= ASIDE_WORDS
 
@@ -147,13 +159,29 @@ def ending(text: str) -> str:
     return "cut" if re.search(r"[,;:(\[{\-–—/\"“«=+&]$", t) else "open"
 
 
+def _tails(words: list[str], k: int) -> list[str]:
+    """What a sentence stops at after its k-th word, from vague to exact: the last one, two and three words, the last five
+    with any word at the end, the last four and five."""
+    out = [words[k - 1]]
+    if k > 1:
+        out.append(f"{words[k - 2]} {out[-1]}")
+    if k > 2:
+        out.append(f"{words[k - 3]} {out[-1]}")
+    if k > 3:
+        four = f"{words[k - 4]} {out[-1]}"
+        if k > 4:
+            out += [f"{words[k - 5]} {words[k - 4]} {words[k - 3]} {words[k - 2]} *", four, f"{words[k - 5]} {four}"]
+        else:
+            out.append(four)
+    return out
+
+
+def _key(tail: str) -> int:
+    return xxhash.xxh64_intdigest(tail) - (1 << 63)
+
+
 def _grams(words: list[str]) -> list[int]:
-    """Keys of the words a sentence stops at, from vague to exact: its last one, two and three words, its last five with
-    any word at the end, its last four and five."""
-    tails = [" ".join(words[-n:]) if len(words) >= n else "" for n in (1, 2, 3)]
-    tails.append(" ".join([*words[-5:-1], "*"]) if len(words) >= 5 else "")
-    tails += [" ".join(words[-n:]) if len(words) >= n else "" for n in (4, 5)]
-    return [xxhash.xxh64_intdigest(t) - (1 << 63) for t in tails if t]
+    return [_key(t) for t in _tails(words, len(words))]
 
 
 def languages(model: LanguageModel, text: str) -> Counter:
@@ -207,10 +235,15 @@ def _counted(text: str, counts: dict) -> None:
         words = tokens(text[start : m.start() if m else len(text)])
         marked = bool(m) and m[0][0] in ".!?"
         for k in range(1, len(words) + 1):
-            for g in _grams(words[max(0, k - 5) : k]):
-                x = counts.setdefault(g, [0, 0])
-                x[0] += 1
-                x[1] += marked and k == len(words)
+            ends = marked and k == len(words)
+            for g in _tails(words, k):
+                x = counts.get(g)
+                if x is None:
+                    counts[g] = [1, int(ends)]
+                else:
+                    x[0] += 1
+                    if ends:
+                        x[1] += 1
         start = m.end() if m else len(text)
 
 
@@ -218,10 +251,10 @@ def ending_counts(texts: DataFrame) -> DataFrame:
     """key, n, ends of every stretch of up to five words in the column ``text``; combined before the shuffle."""
 
     def run(batches):
-        counts: dict[int, list[int]] = {}
+        counts: dict[str, list[int]] = {}
 
         def out():
-            return pd.DataFrame({"key": list(counts), "n": [x[0] for x in counts.values()], "ends": [x[1] for x in counts.values()]}, columns=["key", "n", "ends"]).astype("int64")
+            return pd.DataFrame({"key": [_key(t) for t in counts], "n": [x[0] for x in counts.values()], "ends": [x[1] for x in counts.values()]}, columns=["key", "n", "ends"]).astype("int64")
 
         for pdf in batches:
             for text in pdf["text"]:
