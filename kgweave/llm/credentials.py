@@ -56,6 +56,7 @@ _KNOWN = re.compile(
     r"|(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?|(?<![A-Za-z0-9])AIza[0-9A-Za-z_-]{30,}|(?<![A-Za-z0-9])[a-z]{2,5}_(?:live|test|prod)_[A-Za-z0-9]{12,}"
     r"|(?<![A-Za-z0-9])[a-z]{2,5}-[A-Z0-9]{6,}(?:-[A-Z0-9]{6,}){1,}(?![A-Za-z0-9])|(?<![A-Za-z0-9])glpat-[\w-]{16,}"
 )
+_HUMP = re.compile(r"(?<=[a-z])[A-Z](?=[a-z]{2})")
 _CUT = re.compile(r"\.\.\.\Z")
 
 
@@ -86,7 +87,8 @@ def is_random(s: str, least: int = MIN_TOKEN) -> bool:
     # a short random string misses its highest entropy by chance; the allowance shrinks with the length
     if entropy(s) < (MIN_ENTROPY - 1.0 / len(s)) * highest:
         return False
-    changes = sum(_class(a) != _class(b) for a, b in zip(s, s[1:])) / (len(s) - 1)
+    flat = _HUMP.sub("a", s)  # a capital that starts a word within a name is no change
+    changes = sum(_class(a) != _class(b) for a, b in zip(flat, flat[1:])) / (len(s) - 1)
     return changes >= MIN_CHANGES
 
 
