@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,6 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_ROOTS: list[str] = []
+
+
+@atexit.register
+def _clean_up() -> None:
+    """Scratch tables of a local shared folder go with the process; on other file systems its owner's rules hold."""
+    for root in _ROOTS:
+        if root.startswith("file:") or "://" not in root:
+            shutil.rmtree(root.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
@@ -41,14 +54,13 @@ class Scratch:
         self.spark = spark
         self.root = os.path.join(shared_dir(spark), f"scratch-{uuid.uuid4().hex}")
         self._n = 0
-        self._paths: dict[int, str] = {}
+        _ROOTS.append(self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/t{self._n}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._scratch_path = path
         return out
 
