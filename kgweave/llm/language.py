@@ -50,10 +50,12 @@ MIN_WORDS, MIN_SHARE = 4, 0.55
 
 _FENCE = re.compile(r"(```|~~~).*?(?:\1|\Z)", re.S)
 _HEADING = re.compile(r"^[ \t]*#{1,6}[^\n]*|^[^\n]+\n[ \t]*(?:={3,}|-{3,})[ \t]*$", re.M)
-_CODE = re.compile(
-    r"`[^`\n]*`|https?://\S+|<[^<>\n]{1,200}>|\(\s*[\"“«„][^\"”»“\n]{0,120}[\"”»“]\s*\)|[\"“«„][^\"”»“\n.!?]{0,120}[\"”»“]"
-    r"|\b\w+(?:[_/\\]\w+)+(?:\.\w+)*\b|\b\w*[a-z]\w*[A-Z]\w*\b|\b\w+(?:\.\w+)*\(\)|\b\w+\.(?:py|js|ts|go|rs|java|hs|md|json|ya?ml|txt|sh)\b|\$\{?\w+\}?|--\w[\w-]*"
+_SPANS = re.compile(r"`[^`\n]*`|https?://\S+|<[^<>\n]{1,200}>|\(\s*[\"“«„][^\"”»“\n]{0,120}[\"”»“]\s*\)|[\"“«„][^\"”»“\n.!?]{0,120}[\"”»“]")
+_NAMES = re.compile(
+    r"\b\w+(?:[_/\\]\w+)+(?:\.\w+)*\b|\b\w*[a-z]\w*[A-Z]\w*\b|\b\w+(?:\.\w+)*\(\)|\b\w+\.(?:py|js|ts|go|rs|java|hs|md|json|ya?ml|txt|sh)\b|\$\{?\w+\}?|--\w[\w-]*"
 )
+#: What any identifier, path or option shows; most texts keep theirs in backticks and need no second pass.
+_NAMED = re.compile(r"\w[_/\\]\w|[a-z][^\sa-zA-Z]*[A-Z]|\w\(\)|\w\.[a-z]{2}|\$|--\w")
 _BULLET = re.compile(r"^[ \t]*(?:[-*+•]|\d+[.)]|>)[ \t]+", re.M)
 _BREAK = re.compile(r"[.!?…]+[\"”»)’']*(?=\s|\Z)|\n[ \t]*\n|\n(?=[ \t]*(?:[-*+•>]|\d+[.)])[ \t])|(?<=[:;])\n")
 _LETTERS = re.compile(r"(?:[^\W\d_][̀-ͯ�]*)+")
@@ -95,7 +97,9 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     keep = lambda m: re.sub(r"[^\n]", " ", m[0])
     t = _MOJIBAKE.sub(_repair, text) if "Ã" in text or "Â" in text else text
     t = _HEADING.sub(lambda m: keep(m)[:-1] + "\n" if not m[0].endswith("\n") and m[0] else keep(m), _FENCE.sub(keep, t)) if "#" in t or "`" in t or "~" in t or "--" in t or "==" in t else t
-    t = _CODE.sub(blank, t)
+    t = _SPANS.sub(blank, t)
+    if _NAMED.search(t):
+        t = _NAMES.sub(blank, t)
     out, start = [], 0
     for m in [*_BREAK.finditer(t), None]:
         end = m.end() if m else len(t)
@@ -118,7 +122,7 @@ class LanguageModel:
     slots: np.ndarray = field(default_factory=lambda: np.zeros(SLOTS, dtype=np.uint8))
 
     def __post_init__(self):
-        self._words: dict[str, tuple[int, tuple[float, ...]]] = {}
+        self._words: dict[str, int] = {}
 
     @staticmethod
     def _at(gram: str) -> list[int]:
@@ -140,25 +144,27 @@ class LanguageModel:
         a, b, c = self._at(gram)
         return int(self.slots[a] & self.slots[b] & self.slots[c])
 
-    def _word(self, word: str) -> tuple[int, tuple[float, ...]]:
-        got = self._words.get(word)
-        if got is None:
-            grams = _grams(word)
-            masks = [self.mask(g) for g in grams]
-            got = len(grams), tuple(float(sum(m >> k & 1 for m in masks)) for k in range(len(LANGS)))
-            if len(self._words) > 200_000:
-                self._words.clear()
-            self._words[word] = got
-        return got
+    def _word(self, word: str) -> int:
+        """The word's n-grams and, per language, how many it contains, as 32-bit fields of one number."""
+        grams = _grams(word)
+        packed = len(grams)
+        for g in grams:
+            m, k = self.mask(g), 32
+            while m:
+                packed += (m & 1) << k
+                m, k = m >> 1, k + 32
+        if len(self._words) > 200_000:
+            self._words.clear()
+        self._words[word] = packed
+        return packed
 
     def scores(self, words: list[str]) -> tuple[int, list[float]]:
         """n-grams looked up, and per language those it contains, corrected for false positives."""
-        n, hits = 0, [0.0] * len(LANGS)
+        known, total = self._words.get, 0
         for w in words:
-            k, by = self._word(w)
-            n += k
-            for i, x in enumerate(by):
-                hits[i] += x
+            total += known(w) or self._word(w)
+        n = total & 0xFFFFFFFF
+        hits = [total >> 32 * (k + 1) & 0xFFFFFFFF for k in range(len(LANGS))]
         return n, [max(0.0, (h - n * f) / (1 - f)) if f < 1 else 0.0 for h, f in zip(hits, self.false_rate)]
 
     def language(self, words: list[str]) -> tuple[str | None, float]:
@@ -200,12 +206,16 @@ def fit(documents: DataFrame, docs_per_language: int = FIT_DOCS) -> LanguageMode
     """
     rows = documents.select(F.xxhash64("doc_id").alias("h"), label_language(F.col("lang")).alias("code"), "text").where("code is not null and text is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("code").count().collect()}
-    texts: dict[str, list[list[list[str]]]] = {}
+    chosen = F.lit(False)
     for code, n in sorted(sizes.items()):
-        part = rows.where(F.col("code") == code)
-        if n > docs_per_language:
-            part = part.where(F.pmod("h", F.lit(1_000_003)) < int(1_000_003 * docs_per_language / n))
-        texts[code] = [[s[2] for s in sentences(r[0][:20_000])] for r in part.select("text").limit(2 * docs_per_language).collect()]
+        share = min(1.0, docs_per_language / n)
+        chosen = chosen | ((F.col("code") == code) & (F.pmod("h", F.lit(1_000_003)) <= int(1_000_003 * share)))
+    texts: dict[str, list[list[list[str]]]] = {code: [] for code in sorted(sizes)}
+    # one scan for all languages; texts of any length count with their first 20,000 characters in the fit (not in the labelling)
+    sample = rows.where(chosen).select("code", F.substring("text", 1, 20_000)).limit(2 * docs_per_language * len(LANGS)).collect()
+    for code, text in sorted(map(tuple, sample)):
+        if len(texts[code]) < 2 * docs_per_language:
+            texts[code].append([x[2] for x in sentences(text)])
     return fit_sentences(texts)
 
 
