@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accented letters and their plain forms, one to one.
-ACCENTED = "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿÑñÇçÆæÞþÐðßŠš"
-PLAIN = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOOooooooUUUUuuuuYyyNnCcAaTtDdsSs"
+ACCENTED = "ÀÁÂÃÄÅÆàáâãäåæÇçÈÉÊËèéêëÌÍÎÏìíîïÐðÑñÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿÞþß"
+PLAIN = "AAAAAAAaaaaaaaCcEEEEeeeeIIIIiiiiDdNnOOOOOOooooooUUUUuuuuYyyTts"
 
 
 def _c(c: str | Column) -> Column:
@@ -48,8 +48,10 @@ def stub_id(path) -> Column:
 
 
 def file_base_name(c) -> Column:
-    """Base name without an extension of up to five characters, then what follows the last remaining dot."""
-    return F.regexp_extract(F.regexp_replace(basename(c), r"\.[^.]{0,4}$", ""), r"([^.]*)$", 1)
+    """Base name without an extension of up to five characters, then what follows the last remaining dot; else the base name."""
+    name = basename(c)
+    kept = F.regexp_extract(name, r"([^.]*)\.[^.]{1,5}$", 1)
+    return F.when(kept != "", kept).otherwise(name)
 
 
 def strip_diacritics(c) -> Column:
@@ -77,14 +79,11 @@ def token_savings(tokens, n_words) -> Column:
 
 
 def url_type(c) -> Column:
-    """tweet, arxiv, pdf, image, youtube or webpage, by the first substring that fits."""
-    u = F.lower(_c(c))
-    image = F.lit(False)
-    for ext in (".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg"):
-        image = image | u.endswith(ext)
+    """twitter, arxiv, pdf, image, youtube or webpage, by the first substring that fits."""
+    u = _c(c)
     return (
-        F.when(u.contains("twitter.com") | u.contains("x.com"), "tweet").when(u.contains("arxiv.org"), "arxiv").when(u.endswith(".pdf"), "pdf").when(image, "image")
-        .when(u.contains("youtube.com") | u.contains("youtu.be"), "youtube").otherwise("webpage")
+        F.when(u.contains("twitter.com") | u.contains("x.com"), "twitter").when(u.contains("arxiv.org"), "arxiv").when(u.endswith(".pdf"), "pdf")
+        .when(u.endswith(".png") | u.endswith(".jpg") | u.endswith(".webp"), "image").when(u.contains("youtube.com") | u.contains("youtu.be"), "youtube").otherwise("webpage")
     )
 
 
@@ -95,7 +94,7 @@ def url_filename(c, ext: str = ".md") -> Column:
 
 
 def valid_url(c) -> Column:
-    return F.coalesce(F.lower(_c(c)).rlike("^https?://[^/\\s]"), F.lit(False))
+    return F.coalesce(_c(c).startswith("http://") | _c(c).startswith("https://"), F.lit(False))
 
 
 def valid_graph_path(c) -> Column:
@@ -121,7 +120,7 @@ def cypher_escape(c) -> Column:
 
 def file_name(c) -> Column:
     """A label as a file name: separators and reserved characters become '_'."""
-    return F.regexp_replace(_c(c), r'[/\\:*?"<>|\n\r\t]', "_")
+    return F.regexp_replace(_c(c), r'[/\\:*?"<>|]', "_")
 
 
 def capitalize(c) -> Column:
@@ -140,7 +139,7 @@ def code_category(c) -> Column:
     """code, paper or document by the lower-case suffix."""
     p = F.lower(_c(c))
     # Suffixes of code.
-    exts = "py|ts|js|tsx|jsx|go|rs|java|cpp|c|h|rb|swift|kt|cs|scala|php|hs|lua|zig"
+    exts = "py|ts|js|go|rs|java|c|cpp|rb|cs|kt|scala|php|swift|lua|zig|hs|ex|m|jl"
     return F.when(p.rlike(rf"\.({exts})$"), "code").when(p.endswith(".pdf"), "paper").otherwise("document")
 
 
@@ -157,15 +156,27 @@ def query_terms(question: str, min_length: int = 3) -> list[str]:
     return [w for w in question.lower().split() if len(w) >= min_length]
 
 
+# What the signs of a paper look like.
+PAPER_SIGNS = (
+    ("arxiv.org", "arxiv:", "arxiv."),
+    ("abstract", "summary", "résumé"),
+    ("et al.", "et al.,", "ibid.", "op. cit.", "cf.", "proceedings of", "journal of", "ieee", "acm "),
+    ("references", "bibliography", "works cited", "références"),
+)
+
+
 def paper_score(c) -> Column:
-    """How many of five signs of a paper a text shows; two make one."""
+    """How many of five signs of a paper (a repository number, a DOI, abstract, citations, references) a text shows; two make one."""
     t = F.lower(F.coalesce(_c(c), F.lit("")))
-    after = F.substring(t, F.locate("1", t) + 4, F.lit(1 << 30))
-    signs = [
-        t.contains("arxiv"), t.contains("10.") & F.coalesce(after.contains("/"), F.lit(False)), t.contains("abstract"),
-        t.rlike(r"\[\d+\]|et al\."), t.contains("references") | t.contains("bibliography"),
-    ]
-    return sum((s.cast("int") for s in signs), F.lit(0))
+    # a DOI: '10.' somewhere, and a slash three or more characters after the first '1'
+    after = F.substring(t, F.locate("1", t) + 3, F.lit(1 << 30))
+    out = (t.contains("10.") & F.coalesce(after.contains("/"), F.lit(False))).cast("int")
+    for group in PAPER_SIGNS:
+        hit = F.lit(False)
+        for sign in group:
+            hit = hit | t.contains(sign)
+        out = out + hit.cast("int")
+    return out
 
 
 def headers(c) -> Column:

@@ -13,9 +13,12 @@ from kgweave.schema import confidence_rank
 STRUCTURAL = ("imports", "imports_from", "contains", "method")
 # Words that say nothing in a label.
 STOP_WORDS = (
-    "the a an and or but if then else for while of in on at to from by with without into onto over under is are was were be been being it its this that these those as not no yes do does did done has have had "
-    "can could will would shall should may might must get set new old add use used using via per all any each some other more most such only own same so than too very just also i me my we our you your he she they "
-    "them his her their what which who whom when where why how there here out up down off again once both few between through during before after above below about against because until"
+    "the a an is are was were be been have has had do does did will would can could may might shall should of in to for with on at from by and or not no but if then else this that these those it its as into through during "
+    "before after which who what when where how why all each every both few more most other some such than too very also just about up out over only "
+    "class module function def type data new get set make create return import void null true false const let var pub fn func self super init main error result ok err some none just test spec mock stub helper util utils "
+    "config settings options params args default base abstract interface impl handler manager builder factory adapter info detail item entry record value list map set array vec pair run exec call apply compute process "
+    "start stop begin end open close add remove update delete insert append "
+    "node edge graph community cluster group source target weight score index"
 ).split()
 
 
@@ -38,21 +41,21 @@ def confidence_bonus() -> Column:
 
 
 def surprise_score() -> Column:
-    """Confidence bonus, 2 for another kind of file, 1 for another known community, half of 1.5 bonuses (to even) for similarity."""
+    """Confidence bonus, 2 for another kind of file, 1 for another known community, and 1.5 bonuses (rounded to even) for similarity."""
     bonus = confidence_bonus()
     score = bonus + F.when(code_category("s_source_file") != code_category("t_source_file"), 2).otherwise(0)
     score = score + F.coalesce(F.when(F.col("s_community_id") != F.col("t_community_id"), 1).otherwise(0), F.lit(0))
-    return F.when(F.col("relation") == "semantically_similar_to", score - bonus + F.bround(F.lit(1.5) * bonus).cast("int")).otherwise(score)
+    return score + F.when(F.col("relation") == "semantically_similar_to", F.bround(F.lit(1.5) * bonus).cast("int")).otherwise(0)
 
 
 def surprise_reasons() -> Column:
     parts = F.array_compact(F.array(
-        F.when(F.col("confidence") == "AMBIGUOUS", "ambiguous connection").when(F.col("confidence") == "INFERRED", "inferred connection"),
+        F.when(F.col("confidence") == "INFERRED", "inferred connection"),
         F.when(code_category("s_source_file") != code_category("t_source_file"), "crosses file types"),
-        F.when(F.col("s_community_id") != F.col("t_community_id"), "bridges communities"),
-        F.when(F.col("relation") == "semantically_similar_to", "semantically similar"),
+        F.when(F.col("s_community_id") != F.col("t_community_id"), "bridges separate communities"),
+        F.when(F.col("relation") == "semantically_similar_to", "semantically similar concepts"),
     ))
-    return F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise(F.lit("cross-file connection"))
+    return F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise(F.lit("cross-file semantic connection"))
 
 
 def cross_file_surprises(graph: Graph, communities: DataFrame, top: int | None = 5) -> DataFrame:
@@ -87,11 +90,11 @@ def suggested_questions(graph: Graph, communities: DataFrame, top: int = 7) -> D
     labels = graph.nodes.select("id", "label")
     amb = graph.edges.where("confidence = 'AMBIGUOUS'").orderBy("source", "target").limit(3)
     amb = amb.join(labels.withColumnsRenamed({"id": "source", "label": "sl"}), "source", "left").join(labels.withColumnsRenamed({"id": "target", "label": "tl"}), "target", "left")
-    q1 = amb.select(F.lit(1).alias("ord"), F.lit("ambiguous_edge").alias("kind"), F.concat("source", F.lit("->"), "target").alias("subject"), F.concat(F.lit("What is the exact relationship between "), F.coalesce("sl", F.lit("unknown")), F.lit(" and "), F.coalesce("tl", F.lit("unknown")), F.lit("?")).alias("question"))
+    q1 = amb.select(F.lit(1).alias("ord"), F.lit("ambiguous_edge").alias("kind"), F.concat("source", F.lit("->"), "target").alias("subject"), F.concat(F.lit("What is the exact relationship between `"), F.coalesce("sl", F.lit("unknown")), F.lit("` and `"), F.coalesce("tl", F.lit("unknown")), F.lit("`?")).alias("question"))
     d = described_nodes(graph).where("not is_file").withColumn("b", inverse_degree()).orderBy(F.col("b").desc(), "id").limit(3)
-    q2 = d.select(F.lit(2).alias("ord"), F.lit("bridge_node").alias("kind"), F.col("id").alias("subject"), F.concat(F.lit("Why does "), "label", F.lit(" connect different parts?")).alias("question"))
+    q2 = d.select(F.lit(2).alias("ord"), F.lit("bridge_node").alias("kind"), F.col("id").alias("subject"), F.concat(F.lit("Why does `"), "label", F.lit("` connect across communities?")).alias("question"))
     low = cohesion(graph, communities).where("size >= 5 and score < 0.15")
-    q3 = low.orderBy("community_id").limit(top).select(F.lit(3).alias("ord"), F.lit("low_cohesion").alias("kind"), F.col("community_id").cast("string").alias("subject"), F.concat(F.lit("Should community "), F.col("community_id").cast("string"), F.lit(" be split?")).alias("question"))
+    q3 = low.orderBy("community_id").limit(top).select(F.lit(3).alias("ord"), F.lit("low_cohesion").alias("kind"), F.col("community_id").cast("string").alias("subject"), F.concat(F.lit("Should `Community "), F.col("community_id").cast("string"), F.lit("` be split into smaller, more focused modules?")).alias("question"))
     return q1.unionByName(q2).unionByName(q3).orderBy("ord", "subject").limit(top)
 
 

@@ -15,7 +15,7 @@ from kgweave.runtime import global_rank
 from kgweave.schema import CHAT_COMMUNITY
 
 # Words of questions about the whole.
-ARCHITECTURAL = ("architecture", "overview", "structure", "design", "how does", "main components", "high level", "big picture", "organized")
+ARCHITECTURAL = ("overview", "architecture", "structure", "how does", "how do", "explain", "describe", "design", "module")
 
 
 @dataclass(frozen=True)

@@ -286,18 +286,18 @@ _NEW = "NOT EXISTS (SELECT 1 FROM both_ways b WHERE b.source = x.source AND b.ta
 _DEP = "dep AS (SELECT DISTINCT source, target FROM ge WHERE relation IN ('imports', 'imports_from', 'depends_on'))"
 _TERMS = [t for t in QUESTION.split() if len(t) > 2]
 _MATCH = " + ".join(f"coalesce(contains(lower(label), '{t}')::INT, 0)" for t in _TERMS)
-_CODE = "'\\.(py|ts|js|tsx|jsx|go|rs|java|cpp|c|h|rb|swift|kt|cs|scala|php|hs|lua|zig)$'"
+_CODE = "'\\.(py|ts|js|go|rs|java|c|cpp|rb|cs|kt|scala|php|swift|lua|zig|hs|ex|m|jl)$'"
 _CAT = lambda c: f"CASE WHEN regexp_matches(lower({c}), {_CODE}) THEN 'code' WHEN suffix(lower({c}), '.pdf') THEN 'paper' ELSE 'document' END"
 ENDS = f"""ee AS (SELECT e.source, e.target, e.relation, e.confidence, coalesce(a.source_file, '') AS sf, coalesce(b.source_file, '') AS tf, coalesce(a.is_file, false) AS sfile, coalesce(b.is_file, false) AS tfile,
     coalesce(a.is_concept, true) AS sc, coalesce(b.is_concept, true) AS tc, ca.c AS c1, cb.c AS c2
     FROM ge e LEFT JOIN fl a ON a.id = e.source LEFT JOIN fl b ON b.id = e.target LEFT JOIN cm ca ON ca.node_id = e.source LEFT JOIN cm cb ON cb.node_id = e.target)"""
 _STRUCT = "relation NOT IN ('imports', 'imports_from', 'contains', 'method')"
 _BONUS = "CASE confidence WHEN 'AMBIGUOUS' THEN 3 WHEN 'INFERRED' THEN 2 ELSE 1 END"
-_HALF = "CASE confidence WHEN 'AMBIGUOUS' THEN 4 WHEN 'INFERRED' THEN 3 ELSE 2 END"
+_HALF = "CASE confidence WHEN 'AMBIGUOUS' THEN 4 WHEN 'INFERRED' THEN 3 ELSE 2 END"  # 1.5 bonuses, to even
 _SURPRISE = f"""sp AS (SELECT source, target, relation, confidence,
-    CASE WHEN relation = 'semantically_similar_to' THEN {_HALF} ELSE {_BONUS} END + CASE WHEN {_CAT('sf')} <> {_CAT('tf')} THEN 2 ELSE 0 END + CASE WHEN c1 <> c2 THEN 1 ELSE 0 END AS score,
-    coalesce(nullif(concat_ws('; ', CASE confidence WHEN 'AMBIGUOUS' THEN 'ambiguous connection' WHEN 'INFERRED' THEN 'inferred connection' END, CASE WHEN {_CAT('sf')} <> {_CAT('tf')} THEN 'crosses file types' END,
-      CASE WHEN c1 <> c2 THEN 'bridges communities' END, CASE WHEN relation = 'semantically_similar_to' THEN 'semantically similar' END), ''), 'cross-file connection') AS reason
+    {_BONUS} + CASE WHEN relation = 'semantically_similar_to' THEN {_HALF} ELSE 0 END + CASE WHEN {_CAT('sf')} <> {_CAT('tf')} THEN 2 ELSE 0 END + CASE WHEN c1 <> c2 THEN 1 ELSE 0 END AS score,
+    coalesce(nullif(concat_ws('; ', CASE confidence WHEN 'INFERRED' THEN 'inferred connection' END, CASE WHEN {_CAT('sf')} <> {_CAT('tf')} THEN 'crosses file types' END,
+      CASE WHEN c1 <> c2 THEN 'bridges separate communities' END, CASE WHEN relation = 'semantically_similar_to' THEN 'semantically similar concepts' END), ''), 'cross-file semantic connection') AS reason
     FROM ee WHERE sf <> '' AND tf <> '' AND sf <> tf AND {_STRUCT} AND NOT sc AND NOT tc)"""
 _STOP = ", ".join(f"'{w}'" for w in analysis.STOP_WORDS)
 _LABELS = f"""nm AS (SELECT DISTINCT m.community_id, m.node_id, gn.label, coalesce(degree, 0) AS degree FROM communities m JOIN gn ON gn.id = m.node_id LEFT JOIN dg ON dg.id = m.node_id),
@@ -317,7 +317,7 @@ _CENTRE = """ct AS (SELECT community_id, node_id, degree FROM (SELECT m.communit
     FROM communities m LEFT JOIN dg ON dg.id = m.node_id) WHERE rn = 1)"""
 _BRIDGE = f"SELECT DISTINCT source, target, 'conceptually_related_to' AS relation, 0.5::DOUBLE AS confidence_score, 'inferred:community-bridge' AS source_file FROM (SELECT a.node_id AS source, b.node_id AS target FROM ct a JOIN ct b ON a.community_id < b.community_id) x WHERE source <> target AND {_NEW}"
 _TRANS = f"SELECT DISTINCT source, target, 'depends_on' AS relation, 0.4::DOUBLE AS confidence_score, 'inferred:transitive-dependency' AS source_file FROM (SELECT a.source, b.target FROM dep a JOIN dep b ON a.target = b.source) x WHERE source <> target AND {_NEW}"
-_FB = r"regexp_extract(regexp_replace(string_split(source_file, '/')[-1], '\.[^.]{0,4}$', ''), '([^.]*)$', 1)"
+_FB = r"coalesce(nullif(regexp_extract(string_split(source_file, '/')[-1], '([^.]*)\.[^.]{1,5}$', 1), ''), string_split(source_file, '/')[-1])"
 _CD = f"""cd AS (SELECT id, lower(label) AS label, {_FB} AS base, lower(file_type) AS t FROM gn),
   cl AS (SELECT source, target, arg_min(origin, r) AS origin FROM (
     SELECT c.id AS source, d.id AS target, 0 AS r, 'inferred:code-doc-name' AS origin FROM cd c JOIN cd d ON c.label = d.label WHERE c.t = 'code' AND d.t = 'document' AND c.label <> ''
@@ -375,11 +375,11 @@ ORACLE = {
         SELECT from_community, to_community, source, target, relation, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY from_community, to_community ORDER BY rank DESC, source, target) AS rn FROM k) WHERE rn = 1""",
     "suggested_questions": f"""WITH {G}, {FLAGS},
         a AS (SELECT source, target FROM ge WHERE confidence = 'AMBIGUOUS' ORDER BY source, target LIMIT 3),
-        q1 AS (SELECT 1 AS ord, 'ambiguous_edge' AS kind, source || '->' || target AS subject, 'What is the exact relationship between ' || coalesce(s.label, 'unknown') || ' and ' || coalesce(t.label, 'unknown') || '?' AS question FROM a LEFT JOIN gn s ON s.id = source LEFT JOIN gn t ON t.id = target),
-        q2 AS (SELECT 2 AS ord, 'bridge_node' AS kind, id AS subject, 'Why does ' || label || ' connect different parts?' AS question FROM (SELECT * FROM fl WHERE NOT is_file ORDER BY 1.0 / greatest(1, degree) DESC, id LIMIT 3)),
+        q1 AS (SELECT 1 AS ord, 'ambiguous_edge' AS kind, source || '->' || target AS subject, 'What is the exact relationship between `' || coalesce(s.label, 'unknown') || '` and `' || coalesce(t.label, 'unknown') || '`?' AS question FROM a LEFT JOIN gn s ON s.id = source LEFT JOIN gn t ON t.id = target),
+        q2 AS (SELECT 2 AS ord, 'bridge_node' AS kind, id AS subject, 'Why does `' || label || '` connect across communities?' AS question FROM (SELECT * FROM fl WHERE NOT is_file ORDER BY 1.0 / greatest(1, degree) DESC, id LIMIT 3)),
         pr AS (SELECT DISTINCT least(node, neighbour) AS a, greatest(node, neighbour) AS b FROM adj WHERE node <> neighbour),
         k AS (SELECT x.c, count(*) AS k FROM pr JOIN cm x ON x.node_id = a JOIN cm y ON y.node_id = b WHERE x.c = y.c GROUP BY 1), s AS (SELECT c, count(*) AS size FROM cm GROUP BY 1),
-        q3 AS (SELECT 3 AS ord, 'low_cohesion' AS kind, s.c::VARCHAR AS subject, 'Should community ' || s.c || ' be split?' AS question FROM s LEFT JOIN k ON k.c = s.c WHERE size >= 5 AND coalesce(k, 0) / greatest(1, size * (size - 1) // 2) < 0.15 ORDER BY s.c LIMIT 7)
+        q3 AS (SELECT 3 AS ord, 'low_cohesion' AS kind, s.c::VARCHAR AS subject, 'Should `Community ' || s.c || '` be split into smaller, more focused modules?' AS question FROM s LEFT JOIN k ON k.c = s.c WHERE size >= 5 AND coalesce(k, 0) / greatest(1, size * (size - 1) // 2) < 0.15 ORDER BY s.c LIMIT 7)
         SELECT * FROM (SELECT * FROM q1 UNION ALL SELECT * FROM q2 UNION ALL SELECT * FROM q3) ORDER BY ord, subject LIMIT 7""",
     "label_terms": f"WITH {G}, {_LABELS} SELECT community_id, word, round(tf, 6)::DOUBLE AS tf, df FROM tf JOIN df USING (word)",
     "community_labels": f"""WITH {G}, {_LABELS}, n AS (SELECT count(DISTINCT community_id) AS n FROM communities),

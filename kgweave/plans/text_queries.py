@@ -183,7 +183,7 @@ _M = lambda c: " + ".join(f"coalesce(contains(lower({c}), '{t}')::INT, 0)" for t
 _MATCHES = _M("label")
 _B = lambda c: f"string_split({c}, '/')[-1]"
 _EXT = lambda c: f"regexp_extract({_B(c)}, '[^.]\\.([^.]+)$', 1)"
-_FBN = lambda c: f"regexp_extract(regexp_replace({_B(c)}, '\\.[^.]{{0,4}}$', ''), '([^.]*)$', 1)"
+_FBN = lambda c: f"coalesce(nullif(regexp_extract({_B(c)}, '([^.]*)\\.[^.]{{1,5}}$', 1), ''), {_B(c)})"
 _IGNORED = ", ".join(f"'{x}'" for x in detect.IGNORED_DIRS)
 _CATS = ", ".join(f"('{e}', '{c}')" for c, es in detect.CATEGORIES.items() for e in es)
 _case = lambda m, x: "CASE " + x + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.items())
@@ -193,26 +193,26 @@ _HEADS = """h AS (SELECT {0} AS k, i AS line, x FROM (SELECT {0}, unnest(string_
 _CL = "regexp_replace(title, '[^\\p{L}\\p{N}]', '', 'g')"
 _SERVER = _case(detect.SERVERS, _EXT("path")) + " END"
 _cy = lambda c: f"'''' || replace(replace(coalesce({c}, ''), '\\', '\\\\'), '''', '''''') || ''''"
-_sens = " OR ".join([f"suffix(n, '{p}')" if p.startswith(".") else f"contains(n, '{p}')" for p in detect.SENSITIVE_NAMES])
+_sens = " OR ".join([f"contains(n, '{p}')" for p in detect.SENSITIVE_NAMES] + [f"contains(d, '{p}')" for p in detect.SENSITIVE_DIRS])
 
 ORACLE = {
     "path_functions": f"""SELECT path, {_B('path')} AS basename, string_split({_B('path')}, '.')[1] AS stem, regexp_extract(path, '^(.*/)?', 0) AS dirname, {_FBN('path')} AS base_name,
-        array_to_string(string_split(path, '/')[-2:], '/') AS short_path, CASE WHEN regexp_matches(lower(path), '\\.(py|ts|js|tsx|jsx|go|rs|java|cpp|c|h|rb|swift|kt|cs|scala|php|hs|lua|zig)$') THEN 'code' WHEN suffix(lower(path), '.pdf') THEN 'paper' ELSE 'document' END AS category,
+        array_to_string(string_split(path, '/')[-2:], '/') AS short_path, CASE WHEN regexp_matches(lower(path), '\\.(py|ts|js|go|rs|java|c|cpp|rb|cs|kt|scala|php|swift|lua|zig|hs|ex|m|jl)$') THEN 'code' WHEN suffix(lower(path), '.pdf') THEN 'paper' ELSE 'document' END AS category,
         {_EXT('path')} AS ext, len(list_filter(string_split(path, '/')[:-2], lambda x: x IN ({_IGNORED}))) > 0 AS ignored FROM (SELECT DISTINCT path FROM files)""",
     "label_functions": f"""SELECT label, lower(translate(label, '{X.ACCENTED}', '{X.PLAIN}')) AS normalized, left({_HTML("regexp_replace(label, '[\\x00-\\x1f\\x7f]', '', 'g')")}, 256) AS sanitized, ceil({_WORDS('label')} * 1.33)::BIGINT AS tokens,
         CASE WHEN regexp_matches(label, '^[a-z]') THEN upper(label[1]) || label[2:] ELSE label END AS capitalized, regexp_replace(label, '[\\n\\r"''`]', '', 'g') AS safe, replace(replace(label, '\\', '\\\\'), '''', '''''') AS cypher,
-        regexp_replace(label, '[/\\\\:*?"<>|\\n\\r\\t]', '_', 'g') AS file_name, {_MATCHES} AS matches FROM (SELECT DISTINCT label FROM nodes)""",
+        regexp_replace(label, '[/\\\\:*?"<>|]', '_', 'g') AS file_name, {_MATCHES} AS matches FROM (SELECT DISTINCT label FROM nodes)""",
     "path_hashes": f"SELECT path, {_HASH.format('path')} || '_' || string_split({_B('path')}, '.')[1] AS stub_id FROM (SELECT DISTINCT path FROM files)",
-    "url_functions": """SELECT source_url, CASE WHEN contains(lower(source_url), 'twitter.com') OR contains(lower(source_url), 'x.com') THEN 'tweet' WHEN contains(lower(source_url), 'arxiv.org') THEN 'arxiv' WHEN suffix(lower(source_url), '.pdf') THEN 'pdf'
-        WHEN regexp_matches(lower(source_url), '\\.(png|jpg|jpeg|gif|webp|svg)$') THEN 'image' WHEN contains(lower(source_url), 'youtube.com') OR contains(lower(source_url), 'youtu.be') THEN 'youtube' ELSE 'webpage' END AS url_type,
-        translate(right(source_url, 40), '/\\:*?.', '______') || '.md' AS file_name, regexp_matches(lower(source_url), '^https?://[^/\\s]') AS valid FROM (SELECT DISTINCT source_url FROM nodes WHERE source_url IS NOT NULL)""",
+    "url_functions": """SELECT source_url, CASE WHEN contains(source_url, 'twitter.com') OR contains(source_url, 'x.com') THEN 'twitter' WHEN contains(source_url, 'arxiv.org') THEN 'arxiv' WHEN suffix(source_url, '.pdf') THEN 'pdf'
+        WHEN regexp_matches(source_url, '\\.(png|jpg|webp)$') THEN 'image' WHEN contains(source_url, 'youtube.com') OR contains(source_url, 'youtu.be') THEN 'youtube' ELSE 'webpage' END AS url_type,
+        translate(right(source_url, 40), '/\\:*?.', '______') || '.md' AS file_name, regexp_matches(source_url, '^https?://') AS valid FROM (SELECT DISTINCT source_url FROM nodes WHERE source_url IS NOT NULL)""",
     "token_savings": f"SELECT doc_id, ceil({_WORDS('text')} * 1.33)::BIGINT AS tokens, {_WORDS('text')} AS n_words, CASE WHEN {_WORDS('text')} > 0 THEN round(greatest(0.0, 100.0 * (1 - 1 / ({_WORDS('text')} * 4.0 / 1000.0))), 6) ELSE 0 END::DOUBLE AS savings FROM documents WHERE text IS NOT NULL",
-    "paper_scores": """WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
-        SELECT doc_id, contains(t, 'arxiv')::INT + (contains(t, '10.') AND contains(substr(t, strpos(t, '1') + 4), '/'))::INT + contains(t, 'abstract')::INT + regexp_matches(t, '\\[\\d+\\]|et al\\.')::INT + (contains(t, 'references') OR contains(t, 'bibliography'))::INT AS score FROM t""",
+    "paper_scores": f"""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
+        SELECT doc_id, (contains(t, '10.') AND contains(substr(t, strpos(t, '1') + 3), '/'))::INT + {" + ".join("(" + " OR ".join(f"contains(t, '{x}')" for x in g) + ")::INT" for g in X.PAPER_SIGNS)} AS score FROM t""",
     "document_headers": f"WITH {_HEADS.format('doc_id', 'text', 'documents')} SELECT k AS doc_id, level, title, line::INTEGER AS line FROM hd WHERE title <> ''",
     "document_links": "WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\[\\[([^\\]|\\n]+)(?:\\|[^\\]\\n]*)?\\]\\]', 1)) AS link FROM documents) SELECT doc_id, trim(link) AS link FROM l",
     "file_categories": f"WITH m(ext, category) AS (VALUES {_CATS}) SELECT category, count(*) AS n_files FROM (SELECT path, {_EXT('path')} AS ext FROM (SELECT DISTINCT path FROM files)) JOIN m USING (ext) GROUP BY category",
-    "file_routes": f"SELECT path, {_case(detect.EXTRACTORS, _EXT('path'))} ELSE 'stub' END AS extractor, {_SERVER} AS server, (len(list_filter(string_split(path, '/'), lambda x: x IN ('.ssh', '.aws'))) > 0 OR {_sens}) AS sensitive FROM (SELECT DISTINCT path, lower({_B('path')}) AS n FROM files)",
+    "file_routes": f"SELECT path, {_case(detect.EXTRACTORS, _EXT('path'))} ELSE 'stub' END AS extractor, {_SERVER} AS server, ({_sens}) AS sensitive FROM (SELECT DISTINCT path, {_B('path')} AS n, regexp_extract(path, '^(.*)/[^/]*$', 1) AS d FROM files)",
     "server_groups": f"SELECT server, count(*) AS n_files FROM (SELECT {_SERVER} AS server FROM (SELECT DISTINCT path FROM files)) WHERE server IS NOT NULL GROUP BY server",
     "stub_nodes": f"SELECT {_HASH.format('path')} || '_' || string_split({_B('path')}, '.')[1] AS id, {_B('path')} AS label, path AS source_file FROM (SELECT DISTINCT path FROM files)",
     "document_graph": f"""WITH f AS (SELECT DISTINCT path, content FROM files WHERE suffix(path, '.md')), {_HEADS.format('path', 'content', 'f')},

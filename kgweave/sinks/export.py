@@ -14,7 +14,7 @@ from kgweave.operators.graph import Graph, adjacency, assigned, cohesion, degree
 from kgweave.runtime import global_rank
 
 # The drawing's colours.
-PALETTE = ("#4e79a7", "#f28e2b", "#e15759", "#76b7b2", "#59a14f", "#edc948", "#b07aa1", "#ff9da7", "#9c755f", "#bab0ac", "#86bcb6", "#d37295")
+PALETTE = ("#e41a1c", "#377eb8", "#4daf4a", "#984ea3", "#ff7f00", "#ffff33", "#a65628", "#f781bf", "#999999", "#66c2a5", "#fc8d62", "#8da0cb")
 MAX_DRAWN = 5_000
 PUSH_BATCH = 50
 

@@ -14,24 +14,32 @@ from kgweave.schema import MANIFEST
 
 # Which suffixes belong to which category.
 CATEGORIES = {
-    "code": ("py", "ts", "js", "tsx", "jsx", "go", "rs", "java", "cpp", "c", "h", "hpp", "rb", "swift", "kt", "cs", "scala", "php", "hs", "lua", "zig", "sh", "yaml", "yml", "json", "env", "css"),
-    "document": ("md", "txt", "rst", "adoc"),
+    "code": ("py", "ts", "tsx", "js", "jsx", "go", "rs", "java", "c", "cpp", "h", "hpp", "rb", "cs", "kt", "kts", "scala", "php", "swift", "lua", "zig", "hs", "lhs", "ex", "exs", "m", "mm", "jl", "vue", "svelte", "dart", "ps1", "nix", "json"),
+    "document": ("md", "txt", "rst", "adoc", "org", "text", "raml"),
     "paper": ("pdf",),
-    "image": ("png", "jpg", "jpeg", "gif", "webp", "svg"),
-    "video": ("mp4", "mov", "webm", "mkv"),
+    "image": ("png", "jpg", "jpeg", "webp", "gif"),
+    "video": ("mp4", "mov", "mkv", "webm", "avi", "m4v", "mp3", "wav", "m4a", "ogg"),
 }
-# Directories that are never scanned.
-IGNORED_DIRS = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", "target", ".idea", ".vscode", ".cache", "dist-newstyle", ".stack-work")
+# Directories that are never scanned (the tool's own output folder is set by the caller).
+IGNORED_DIRS = (".git", "node_modules", "__pycache__", ".venv", "dist", "dist-newstyle", "build", ".stack-work", ".opencode", ".tmp", ".obsidian", ".github")
 # Names and directories of sensitive files.
 SENSITIVE_NAMES = (
-    ".env", ".pem", ".key", ".p12", ".pfx", ".jks", ".keystore", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "credentials", "secrets", "secret", "password", "passwd", "token", ".htpasswd", ".netrc",
-    ".pgpass", ".npmrc", ".pypirc", "service-account", "private", "aws_access", "api_key",
+    ".env", ".env.local", ".env.production", ".env.staging", ".pem", ".key", ".p12", ".pfx", ".netrc", ".npmrc", ".pypirc", "id_rsa", "id_ed25519", "id_ecdsa", "id_dsa", "credentials", "secrets", "secret_key",
+    "service-account", "service_account", ".aws/credentials", ".gnupg", "ssh_config", ".ssh/config", ".docker/config.json", ".kube/config",
 )
-SENSITIVE_DIRS = (".ssh", ".aws")
-# How the suffixes of code are read.
-EXTRACTORS = {"py": "parser", "json": "parser", "ts": "symbols", "tsx": "symbols", "js": "symbols", "jsx": "symbols", "go": "symbols", "rs": "symbols", "java": "symbols", "hs": "lines", "md": "document", "txt": "document", "rst": "document"}
+SENSITIVE_DIRS = (".gnupg", ".ssh")
+# How suffixes are read: by a parser, by symbols of a language server (Haskell: by lines), or as documents.
+EXTRACTORS = {
+    "ts": "parser", "tsx": "parser", "js": "parser", "jsx": "parser", "hs": "lines", "lhs": "lines", "go": "symbols", "rs": "symbols", "py": "symbols", "pyw": "symbols", "c": "symbols", "cpp": "symbols", "h": "symbols",
+    "hpp": "symbols", "nix": "symbols", "rb": "symbols", "java": "symbols", "json": "parser", "md": "document", "rst": "document", "adoc": "document",
+}
 # Language servers for suffixes.
-SERVERS = {"hs": "haskell-language-server", "ts": "typescript-language-server", "tsx": "typescript-language-server", "js": "typescript-language-server", "jsx": "typescript-language-server", "py": "pylsp", "go": "gopls", "rs": "rust-analyzer", "java": "jdtls", "c": "clangd", "h": "clangd", "cpp": "clangd", "hpp": "clangd", "rb": "solargraph", "lua": "lua-language-server", "zig": "zls", "kt": "kotlin-language-server", "scala": "metals", "php": "intelephense", "cs": "omnisharp", "swift": "sourcekit-lsp", "sh": "bash-language-server", "yaml": "yaml-language-server", "yml": "yaml-language-server", "json": "vscode-json-languageserver", "css": "vscode-css-languageserver"}
+SERVERS = {
+    "ts": "typescript-language-server", "tsx": "typescript-language-server", "js": "typescript-language-server", "jsx": "typescript-language-server", "py": "pyright-langserver", "go": "gopls", "rs": "rust-analyzer",
+    "c": "clangd", "cpp": "clangd", "h": "clangd", "hpp": "clangd", "java": "jdtls", "cs": "omnisharp", "rb": "solargraph", "hs": "haskell-language-server", "lhs": "haskell-language-server", "php": "phpactor",
+    "swift": "sourcekit-lsp", "kt": "kotlin-language-server", "kts": "kotlin-language-server", "scala": "metals", "lua": "lua-language-server", "zig": "zls", "ex": "elixir-ls", "exs": "elixir-ls", "dart": "dart",
+    "vue": "vue-language-server", "svelte": "svelte-language-server", "nix": "nixd",
+}
 LARGE_CORPUS = 200
 
 
@@ -116,11 +124,13 @@ def ignored(patterns: list[tuple[str, str]], path: str = "path") -> Column:
 
 
 def sensitive(path: str = "path") -> Column:
-    """Names that suggest secrets: suffixes and words of the lower-case base name, or a sensitive directory."""
-    name = F.lower(basename(path))
-    out = F.exists(F.split(F.col(path), "/"), lambda x: x.isin(*SENSITIVE_DIRS))
+    """Names that suggest secrets: a pattern within the base name, or a sensitive directory within the directory part."""
+    name, folder = basename(path), F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    out = F.lit(False)
     for p in SENSITIVE_NAMES:
-        out = out | (name.endswith(p) if p.startswith(".") else name.contains(p)) | (name == p)
+        out = out | name.contains(p)
+    for p in SENSITIVE_DIRS:
+        out = out | folder.contains(p)
     return out
 
 

@@ -159,7 +159,7 @@ def test_surprises_and_questions(make, comm):
     g = make([("a", "A", "x.py"), ("b", "B", "doc.md"), ("c", "C", "y.py")], [("a", "b", "semantically_similar_to", "AMBIGUOUS"), ("a", "c", "calls"), ("b", "c", "imports")])
     c = comm((1, "a"), (2, "b"), (1, "c"))
     got = analysis.cross_file_surprises(g, c).collect()
-    assert [(r["source"], r["target"], r["score"]) for r in got] == [("a", "b", 4 + 2 + 1), ("a", "c", 1)]
+    assert [(r["source"], r["target"], r["score"]) for r in got] == [("a", "b", 3 + 4 + 2 + 1), ("a", "c", 1)]
     assert [r["kind"] for r in analysis.suggested_questions(g, c).collect()][0] == "ambiguous_edge"
     assert analysis.cross_community_surprises(g, c).count() == 1
     labels = {r["community_id"]: r["label"] for r in analysis.community_labels(g, comm((1, "a"), (2, "zz"))).collect()}

@@ -24,10 +24,10 @@ def test_text_functions(spark):
         h = (h * 31 + ord(ch)) % 65536
     assert one(spark, X.stub_id, "src/a/File.test.ts") == f"{h:05d}_File"
     assert one(spark, X.file_base_name, "a/Data.Map.hs") == "Map" and one(spark, X.short_path, "a/b/c") == "b/c" and one(spark, X.short_path, "c") == "c"
-    assert one(spark, X.url_type, "https://arxiv.org/abs/1.pdf") == "arxiv" and one(spark, X.url_type, "https://netflix.com") == "tweet"
+    assert one(spark, X.url_type, "https://arxiv.org/abs/1.pdf") == "arxiv" and one(spark, X.url_type, "https://netflix.com") == "twitter"
     assert [tuple(r) for r in one(spark, X.headers, "# A\n##### deep\ntext\n  ##B")] == [(1, "A", 1), (4, "# deep", 2), (2, "B", 4)]
     assert one(spark, X.tags, "see #tag-1 and #x\n#line #tag-1") == ["tag-1"] and one(spark, X.wiki_links, "[[A|b]] [[C]]") == ["A", "C"]
-    assert one(spark, X.paper_score, None) == 0 and one(spark, X.paper_score, "arXiv doi 10.1000/xyz Abstract References [1]") == 5
+    assert one(spark, X.paper_score, None) == 0 and one(spark, X.paper_score, "arXiv: doi 10.1000/xyz Abstract, et al. References") == 5
     assert one(spark, X.sanitize_label, "<a>\x01&'") == "&lt;a&gt;&amp;&#39;" and one(spark, X.valid_graph_path, "a/../b") is False and one(spark, X.valid_url, "ftp://x") is False
 
 
