@@ -1,8 +1,11 @@
 """Community detection by local moving and refinement, with small communities merged.
 
-Exact mode runs the sequential pass of the definition in one task (bounded); distributed mode moves nodes in synchronous
-rounds: community totals are aggregated, each node's candidates scored by joins, and only nodes of one hash parity move a
-round, so that neighbours do not swap. Communities are numbered from 1; 0 is kept for the chat.
+The definition's pass is sequential in id order. Exact mode runs it in one task; distributed mode, for graphs of any size,
+gives the same communities in blocks, so that the size of a graph decides nothing but where the work is done. A block
+of nodes is swept in order in one task, with the latest communities of lower nodes elsewhere and the pass's old ones of
+higher nodes; blocks that saw a lower node change are swept again until none does. At that point each node has decided as
+the sequential pass decides. Refinement and the merge of small communities are joins. Communities are numbered from 1; 0 is
+kept for the chat.
 """
 
 from __future__ import annotations
@@ -14,11 +17,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgweave.operators.graph import Graph, adjacency
-from kgweave.runtime import Scratch, heavy_keys, join_unique
+from kgweave.runtime import Scratch, global_rank, heavy_keys, join_unique
 
 MAX_ROUNDS = 50
 MIN_SIZE = 3
+#: Nodes and links up to which one task does all rounds.
 EXACT_LIMIT = 2_000_000
+#: Links of a block that one task sweeps; nodes of more than HUB_LINKS links are scored by joins instead.
+BLOCK_LINKS, HUB_LINKS = 1_000_000, 10_000
+#: Nodes that are put into a block together.
+BUCKET = 50
 
 
 def local_moving(adj: dict[str, list[str]], gamma: float = 1.0, max_rounds: int = MAX_ROUNDS) -> dict[str, int]:
@@ -96,8 +104,8 @@ def _numbered(rows: DataFrame) -> DataFrame:
 def detect_communities(graph: Graph, gamma: float = 1.0, min_size: int = MIN_SIZE, mode: str = "auto") -> DataFrame:
     """community_id, node_id: every node in exactly one community, numbered from 1 by least member.
 
-    ``exact`` (the default up to EXACT_LIMIT nodes and links) is one task; ``distributed`` has no size limit. Higher
-    ``gamma`` gives smaller communities.
+    ``exact`` (up to EXACT_LIMIT nodes and links) is one task, ``distributed`` has no size limit; both give the same
+    communities. Higher ``gamma`` gives smaller communities.
     """
     scratch = Scratch(graph.edges.sparkSession)
     adj = adjacency(graph)
@@ -123,32 +131,118 @@ def detect_communities(graph: Graph, gamma: float = 1.0, min_size: int = MIN_SIZ
     return _numbered(scratch.save(found))
 
 
-def _distributed(nodes: DataFrame, adj: DataFrame, gamma: float, min_size: int, scratch: Scratch, rounds: int = 8) -> DataFrame:
-    links = scratch.save(adj.where("node <> neighbour").join(nodes.withColumnRenamed("node_id", "node"), "node", "left_semi").join(nodes.withColumnRenamed("node_id", "neighbour"), "neighbour", "left_semi"))
-    deg = scratch.save(nodes.join(links.groupBy(F.col("node").alias("node_id")).agg(F.count(F.lit(1)).alias("k")), "node_id", "left").na.fill(0))
-    m = (deg.agg(F.sum("k")).first()[0] or 0) / 2
-    state = scratch.save(deg.select("node_id", F.col("node_id").alias("c"), "k"))
-    hot = heavy_keys(links, "neighbour")
-    for r in range(rounds):
-        if not m:
+def _distributed(nodes: DataFrame, adj: DataFrame, gamma: float, min_size: int, scratch: Scratch) -> DataFrame:
+    """node_id, c: the communities of ``local_moving`` and ``merge_small``, numbers included."""
+    ranked = scratch.save(global_rank(nodes, ["node_id"], "pos"))
+    near = scratch.save(adj.where(F.col("node").isNotNull() & F.col("neighbour").isNotNull()))
+    coded = join_unique(near, ranked.select(F.col("node_id").alias("node"), F.col("pos").alias("u")), "node", "inner", heavy_keys(near, "node"))
+    coded = scratch.save(join_unique(coded, ranked.select(F.col("node_id").alias("neighbour"), F.col("pos").alias("v")), "neighbour", "left", heavy_keys(near, "neighbour")).select("u", "v"))
+    m = coded.count() / 2
+    placed = scratch.save(_placed(ranked.select("pos").join(coded.groupBy(F.col("u").alias("pos")).agg(F.count(F.lit(1)).alias("k")), "pos", "left").na.fill(0)))
+    hot = heavy_keys(coded, "u")
+    links = scratch.save(join_unique(coded.where(F.col("v").isNotNull()), placed.select(F.col("pos").alias("u"), F.col("k").alias("uk"), F.col("block").alias("ub")), "u", "inner", hot))
+    hot_v = heavy_keys(links, "v")
+    state = placed.withColumn("c", F.col("pos"))
+    for _ in range(MAX_ROUNDS if m else 0):
+        moved = _moved(state, links, gamma, m, hot_v, scratch)
+        ends = join_unique(links, moved.select(F.col("pos").alias("v"), F.col("c").alias("cv")), "v", "inner", hot_v)
+        ends = join_unique(ends, moved.select(F.col("pos").alias("u"), F.col("c").alias("cu")), "u", "inner", hot)
+        well = ends.where("cu = cv").groupBy(F.col("u").alias("pos"), "uk").agg(F.count(F.lit(1)).alias("own")).where(F.col("own") / F.greatest(F.lit(1), F.col("uk")) > 0.5).select("pos", F.lit(True).alias("well"))
+        marked = scratch.save(moved.join(well, "pos", "left"))
+        split = marked.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.count("well").alias("wells")).where((F.col("wells") > 0) & (F.col("wells") < F.floor(F.col("size") / 2)))
+        above = marked.agg(F.max("c")).first()[0]
+        # one row a split community
+        split = scratch.save(split.select("c", (F.row_number().over(Window.orderBy("c")) + F.lit(above)).cast("bigint").alias("fresh")))
+        state = scratch.save(join_unique(marked, split, "c", "left", heavy_keys(marked, "c")).select("pos", "k", "block", F.when(F.col("well"), F.coalesce("fresh", "c")).otherwise(F.col("c")).alias("c")))
+        if not split.limit(1).count():
             break
-        total = state.groupBy("c").agg(F.sum("k").alias("total"))
-        at = join_unique(links, state.select(F.col("node_id").alias("neighbour"), "c"), "neighbour", "inner", hot)
-        near = at.groupBy(F.col("node").alias("node_id"), "c").agg(F.count(F.lit(1)).alias("inside"))
-        scored = join_unique(near, total, "c", "inner", heavy_keys(near, "c")).join(state.select("node_id", F.col("c").alias("old"), "k"), "node_id")
-        score = F.col("inside") / F.lit(m) - F.lit(gamma / (2 * m * m)) * F.col("total") * F.col("k")
-        best = scored.where(F.pmod(F.xxhash64("node_id"), F.lit(2)) == r % 2).groupBy("node_id").agg(F.max(F.struct(score.alias("s"), "c")).alias("x"))
-        moved = state.join(best, "node_id", "left").select("node_id", F.when(F.col("x.s") > 0, F.col("x.c")).otherwise(F.col("c")).alias("c"), "k", (F.coalesce("x.s", F.lit(0.0)) > 0).alias("moved"))
-        state = scratch.save(moved.drop("moved"))
-    # small communities follow their best linked neighbour; two rounds resolve chains as far as they are short
-    for _ in range(2):
-        size = state.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-        sized = join_unique(state, size, "c", "inner", heavy_keys(state, "c"))
-        small = sized.where(F.col("size") < min_size).select(F.col("node_id").alias("node"), F.col("c").alias("mine"))
-        at = join_unique(links, state.select(F.col("node_id").alias("neighbour"), F.col("c").alias("theirs")), "neighbour", "inner", hot)
-        votes = at.join(small, "node").where("mine <> theirs").groupBy("mine", "theirs").agg(F.count(F.lit(1)).alias("n"))
-        # of two small ones only the one of the greater name moves, so that no two swap
-        votes = votes.join(size.select(F.col("c").alias("theirs"), F.col("size").alias("their_size")), "theirs").where((F.col("their_size") >= min_size) | (F.col("theirs") < F.col("mine")))
-        goal = votes.groupBy("mine").agg(F.max(F.struct("n", "theirs")).alias("x")).select(F.col("mine").alias("c"), F.col("x.theirs").alias("to"))
-        state = scratch.save(join_unique(state, goal, "c", "left", heavy_keys(state, "c")).select("node_id", F.coalesce("to", "c").alias("c"), "k"))
-    return state.select("node_id", "c")
+    merged = _merged(state, links, min_size, hot, hot_v, scratch)
+    return ranked.join(merged, "pos").select("node_id", "c")
+
+
+def _placed(nodes: DataFrame) -> DataFrame:
+    """Adds ``block``: consecutive nodes with about BLOCK_LINKS links; -1 for hubs."""
+    bucket = F.floor(F.col("pos") / BUCKET)
+    sums = nodes.groupBy(bucket.alias("bucket")).agg(F.sum(F.when(F.col("k") <= HUB_LINKS, F.col("k") + 1).otherwise(0)).alias("n"))
+    # one row a bucket
+    before = sums.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    block = F.when(F.col("k") > HUB_LINKS, F.lit(-1)).otherwise(F.floor(F.col("before") / BLOCK_LINKS)).cast("bigint")
+    return nodes.withColumn("bucket", bucket).join(before, "bucket").select("pos", "k", block.alias("block"))
+
+
+def _moved(state: DataFrame, links: DataFrame, gamma: float, m: float, hot_v: list, scratch: Scratch) -> DataFrame:
+    """pos, k, block, c after one sequential pass over all nodes, with totals frozen at its start."""
+    total = scratch.save(state.groupBy("c").agg(F.sum("k").cast("double").alias("total")))
+    now = join_unique(state, total, "c", "inner", heavy_keys(state, "c"))
+    now = scratch.save(now.withColumn("n", F.col("c")).withColumn("nt", F.col("total")))
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["u", "v"])
+        own = pdf[pdf["v"] < 0]
+        comm = dict(zip(own["u"].tolist(), own["c"].tolist()))
+        totals = dict(zip(pdf["c"].tolist(), pdf["total"].tolist()))
+        at, end = pdf["u"].searchsorted(own["u"], "left").tolist(), pdf["u"].searchsorted(own["u"], "right").tolist()
+        vs, cs = pdf["v"].tolist(), pdf["c"].tolist()
+        for u, k, a, b in zip(own["u"].tolist(), own["uk"].tolist(), at, end):
+            inside: dict[int, int] = {}  # in the order of the first neighbours
+            for x in range(a + 1, b):
+                c = comm.get(vs[x], cs[x])
+                inside[c] = inside.get(c, 0) + 1
+            best, best_score = None, 0.0
+            for c, n in inside.items():
+                score = n / m - gamma * totals[c] * k / (2 * m * m)
+                if score > best_score:
+                    best, best_score = c, score
+            if best is not None:
+                comm[u] = best
+        return pd.DataFrame({"pos": list(comm), "new": list(comm.values())}, dtype="int64")
+
+    todo: list[int] | None = None
+    while True:
+        seen = now.select(F.col("pos").alias("v"), F.col("block").alias("vb"), "c", "total", "n", "nt")
+        lower = F.col("v") < F.col("u")
+        met = join_unique(links if todo is None else links.where(F.col("ub").isin(todo)), seen, "v", "inner", hot_v)
+        met = met.select("ub", "u", "uk", "v", F.when(lower, F.col("n")).otherwise(F.col("c")).alias("c"), F.when(lower, F.col("nt")).otherwise(F.col("total")).alias("total"))
+        own = now.where((F.col("block") >= 0) if todo is None else F.col("block").isin([b for b in todo if b >= 0]))
+        own = own.select(F.col("block").alias("ub"), F.col("pos").alias("u"), F.col("k").alias("uk"), F.lit(-1).cast("bigint").alias("v"), "c", "total")
+        new = met.where("ub >= 0").unionByName(own).groupBy("ub").applyInPandas(sweep, "pos bigint, new bigint")
+        votes = met.where("ub < 0").groupBy("u", "c").agg(F.count(F.lit(1)).alias("inside"), F.min("v").alias("first"), F.max("total").alias("total"), F.max("uk").alias("uk"))
+        score = F.col("inside") / F.lit(m) - F.lit(float(gamma)) * F.col("total") * F.col("uk") / F.lit(2 * m * m)
+        hubs = votes.groupBy(F.col("u").alias("pos")).agg(F.min(F.struct((-score).alias("s"), "first", "c")).alias("x")).select("pos", F.when(F.col("x.s") < 0, F.col("x.c")).otherwise(F.lit(-1)).alias("new"))
+        later = now.join(new.unionByName(hubs), "pos", "left").select("pos", "k", "block", "c", "total", F.col("n").alias("before"), F.coalesce(F.when(F.col("new") < 0, F.col("c")).otherwise(F.col("new")), F.col("n")).alias("n"))
+        later = scratch.save(later)
+        fresh = scratch.save(join_unique(later, total.select(F.col("c").alias("n"), F.col("total").alias("nt")), "n", "inner", heavy_keys(later, "n")))
+        scratch.drop(now, later)
+        now = fresh
+        changed = now.where("n <> before").select(F.col("pos").alias("v"), F.col("block").alias("vb"))
+        again = join_unique(links, changed, "v", "inner", hot_v).where(lower & ((F.col("ub") != F.col("vb")) | (F.col("ub") < 0)))
+        todo = [r[0] for r in again.select("ub").distinct().collect()]  # one row a block
+        if not todo:
+            return now.select("pos", "k", "block", F.col("n").alias("c"))
+
+
+def _merged(state: DataFrame, links: DataFrame, min_size: int, hot: list, hot_v: list, scratch: Scratch) -> DataFrame:
+    """pos, c with small communities merged as in ``merge_small``: each points to its goal, chains by pointer doubling."""
+    size = scratch.save(state.groupBy("c").agg(F.count(F.lit(1)).alias("size")))
+    small = size.where(F.col("size") < min_size).select("c")
+    n = small.count()
+    if not n:
+        return state.select("pos", "c")
+    largest = size.orderBy(F.desc("size"), "c").first()[0]
+    within = scratch.save(state.join(small, "c", "left_semi").select(F.col("pos").alias("u"), F.col("c").alias("cu")))
+    ends = join_unique(links.join(within, "u"), state.select(F.col("pos").alias("v"), F.col("c").alias("cv")), "v", "inner", hot_v).where("cu <> cv")
+    goal = ends.groupBy("cu", "cv").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("cu").alias("c")).agg(F.min(F.struct((-F.col("n")).alias("n"), "cv")).alias("x"))
+    to = scratch.save(small.join(goal, "c", "left").select("c", F.coalesce("x.cv", F.lit(largest)).alias("p")))
+    # merges run in the order of the numbers, so the last of a ring stays; of rings of two that is seen at once
+    back = to.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+    to = scratch.save(to.join(back, "p", "left").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") > F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")).withColumn("top", F.col("c")))
+    for _ in range(n.bit_length() + 1):
+        ahead = to.select(F.col("c").alias("p"), F.col("p").alias("pp"), F.col("top").alias("ptop"))
+        hop = scratch.save(join_unique(to, ahead, "p", "left", heavy_keys(to, "p")).select("c", F.coalesce("pp", "p").alias("p"), F.greatest("top", "ptop").alias("top"), (F.coalesce("pp", "p") != F.col("p")).alias("hopped")))
+        to = hop.drop("hopped")
+        if not hop.where("hopped").limit(1).count():
+            break
+    # a goal that is small itself is its own or lies on a ring, whose greatest number stays
+    end = to.select(F.col("c").alias("p"), F.col("top").alias("ptop"))
+    root = scratch.save(join_unique(to, end, "p", "left", heavy_keys(to, "p")).select("c", F.coalesce("ptop", "p").alias("root")))
+    return join_unique(state, root, "c", "left", heavy_keys(state, "c")).select("pos", F.coalesce("root", "c").alias("c"))

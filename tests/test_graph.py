@@ -134,6 +134,26 @@ def test_communities_cover_every_node_once(make):
     assert community.merge_small({"a": ["b"], "b": ["a", "c"], "c": ["b"]}, {"a": 0, "b": 1, "c": 2}, 3) in ({"a": 0, "b": 0, "c": 0}, {"a": 1, "b": 1, "c": 1}, {"a": 2, "b": 2, "c": 2})
 
 
+def test_communities_are_the_same_at_every_size(make, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    names = [f"n{k:03d}" for k in range(150)]
+    groups = [names[k : k + 12] for k in range(0, 120, 12)]
+    es = [tuple(rng.sample(g, 2)) for g in groups for _ in range(30)] + [(rng.choice(names[:120]), rng.choice(names[:120])) for _ in range(50)]
+    es += [("n005", x) for x in names[20:90:2]] + list(zip(names[130:137], names[131:138])) + [("n140", "n141"), ("n142", "n003"), ("n007", "n007")]  # hub, path, pair, leaf, loop; the rest unlinked
+    for limits in ((500_000, 10_000, 50), (60, 20, 5)):  # one block, and many with hubs
+        for name, x in zip(("BLOCK_LINKS", "HUB_LINKS", "BUCKET"), limits):
+            monkeypatch.setattr(community, name, x)
+        both = [sorted(map(tuple, community.detect_communities(make(names, es), mode=m).collect())) for m in ("exact", "distributed")]
+        assert both[0] == both[1]
+    sizes = {}
+    for c, _ in both[1]:
+        sizes[c] = sizes.get(c, 0) + 1
+    assert min(sizes.values()) >= community.MIN_SIZE
+
+
+
 def test_inference(make, comm):
     g = make([("a", "Auth"), ("b", "Db"), ("c", "Router"), ("d", "auth", "docs/auth.md", "document")], [("a", "b", "imports"), ("b", "c", "imports"), ("x", "b", "imports")])
     assert {(r[0], r[1]) for r in infer.transitive_dependencies(g).collect()} == {("a", "c"), ("x", "c")}
