@@ -112,11 +112,18 @@ def carried_words(doc: list[str], item: list[str], hits: list[tuple[int, int]])
                 if words > top[0]:
                     top = (words, best[j][1], i + n)
         best.append(top)
-    pieces = sorted((p for p in best if p[0] >= MIN_PIECE), reverse=True)
+    pieces = [p for p in best if p[0] >= MIN_PIECE]
     if not pieces:
         return 0, 0
-    one = pieces[0][0]
-    two = max((p[0] + q[0] for x, p in enumerate(pieces[:40]) for q in pieces[x + 1 : 40] if p[2] <= q[1] or q[2] <= p[1]), default=0)
+    one = max(p[0] for p in pieces)
+    # the best piece that ends at or before each point of the item, and the best that starts there or after
+    ends, starts = [0] * (len(item) + 1), [0] * (len(item) + 1)
+    for n, start, end in pieces:
+        ends[end], starts[start] = max(ends[end], n), max(starts[start], n)
+    for x in range(1, len(item) + 1):
+        ends[x] = max(ends[x], ends[x - 1])
+        starts[-1 - x] = max(starts[-1 - x], starts[-x])
+    two = max((a + b for a, b in zip(ends, starts) if a and b), default=0)
     return (two, 2) if two > one else (one, 1)
 
 

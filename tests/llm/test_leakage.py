@@ -49,3 +49,14 @@ def test_layout_markup_and_blocks(spark, monkeypatch):
     docs = [(1, "<p>" + items[0][1].replace(" ", "</b> <b>") + "</p>"), (2, "x " * 60_000 + items[4][1]), (3, broken)]
     got = L.leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 0), (2, 4), (3, 3)}
+
+
+def test_second_piece_after_many_of_the_first():
+    rng = random.Random(7)
+    item = [w + str(k) for k, w in enumerate(passage(rng, 60))]
+    doc = []
+    for k in range(60):
+        doc += item[5:25] + [f"x{k}y{j}" for j in range(300)]
+    doc += item[40:48]
+    hits = [(d, i) for d in range(len(doc) - 4) for i in range(56) if doc[d : d + 5] == item[i : i + 5]]
+    assert L.carried_words(doc, item, hits) == (28, 2)
