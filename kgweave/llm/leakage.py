@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 #: Words of an item's passage that a document must carry.
 MIN_WORDS = 25
-#: Shingles that a window of MIN_WORDS words keeps under occasional edits: three edits break at most 15 of its 21.
-MIN_SHARED = 6
+#: Shingles that some window of MIN_WORDS words keeps at least: the larger of two pieces has 13 words or more, and two exact
+#: runs of 5 with 3 words in the gap between them keep one each.
+MIN_SHARED = 2
 #: A gap between two exact runs of one piece, in words, on either side.
 MAX_GAP = 4
 #: A piece is running text of at least so many words.

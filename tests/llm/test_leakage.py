@@ -60,3 +60,13 @@ def test_second_piece_after_many_of_the_first():
     doc += item[40:48]
     hits = [(d, i) for d in range(len(doc) - 4) for i in range(56) if doc[d : d + 5] == item[i : i + 5]]
     assert L.carried_words(doc, item, hits) == (28, 2)
+
+
+def test_two_edited_pieces(spark):
+    rng = random.Random(10)
+    item = [w + str(k) for k, w in enumerate(passage(rng, 80))]
+    a, b = item[5:19], item[55:69]
+    a[7], b[7] = "other", "word"  # 13 and 13 words
+    doc = " ".join(["the"] * 5 + a + [f"x{k}" for k in range(40)] + b)
+    got = L.leaked(spark.createDataFrame([(1, doc)], "doc_id bigint, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["carried_words"], r["pieces"]) for r in got] == [(1, 7, 26, 2)]
