@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 MIN_TOKEN, MIN_PASSWORD = 16, 6
 #: Share of the entropy that alphabet and length allow, and share of neighbours of different kinds, of a random token.
 MIN_ENTROPY, MIN_CHANGES = 0.80, 0.22
+#: Longest random string without a telling name that counts as a token; longer ones, and those of three parts or more, are
+#: encoded data.
+MAX_UNNAMED = 256
 
 # Alphabets with their sizes, the narrowest first.
 ALPHABETS = (("hex", re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z"), 16), ("upper", re.compile(r"[A-Z0-9]+(?:-[A-Z0-9]+)*\Z"), 36), ("alnum", re.compile(r"[A-Za-z0-9]+\Z"), 62), ("base64", re.compile(r"[A-Za-z0-9+/_=.-]+\Z"), 65), ("printable", re.compile(r"[!-~]+\Z"), 94))
@@ -56,6 +59,7 @@ _KNOWN = re.compile(
     r"|(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?|(?<![A-Za-z0-9])AIza[0-9A-Za-z_-]{30,}|(?<![A-Za-z0-9])[a-z]{2,5}_(?:live|test|prod)_[A-Za-z0-9]{12,}"
     r"|(?<![A-Za-z0-9])[a-z]{2,5}-[A-Z0-9]{6,}(?:-[A-Z0-9]{6,}){1,}(?![A-Za-z0-9])|(?<![A-Za-z0-9])glpat-[\w-]{16,}"
 )
+_BARE = re.compile(r"(?<![\w+/=.\"'$@:-])[A-Za-z0-9_-]{20,}(?![\w+/=.(\"'-])")
 _HUMP = re.compile(r"(?<=[a-z])[A-Z](?=[a-z]{2})")
 _CUT = re.compile(r"\.\.\.\Z")
 
@@ -125,6 +129,15 @@ def _value(key: str, value: str) -> str | None:
     return "password" if is_password(v, bool(_PASSWORD_KEY.search(key))) else None
 
 
+def _unnamed(key: str, value: str) -> bool:
+    """A long random token behind a neutral name or none; names of hashes, ids and images rule it out."""
+    v = _CUT.sub("", value.strip())
+    if not v or _PLACEHOLDER.match(v) or _REFERENCE.search(v) or v.startswith(("data:", "sha")) or is_hash(v) or _HASH_KEY.search(key):
+        return False
+    # without a name: letters of both cases and digits, no address or path, and no longer than keys are
+    return len(v) <= MAX_UNNAMED and is_random(v, 20) and "://" not in v and v[0] not in "/." and any(c.islower() for c in v) and any(c.isupper() for c in v)
+
+
 def find_secrets(text: str | None, is_path: bool = False) -> list[Secret]:
     """Spans of the literal credentials in a text, in order, without overlaps."""
     if not text:
@@ -197,6 +210,8 @@ def _in_code(text: str, found: list[Secret], free) -> None:
             found.extend(Secret(spans[0][0] + x.start, spans[0][0] + x.end, x.kind) for x in inside)
             continue
         kind = _value(before[1], value) if before else None
+        if not kind and len(group) < 3 and _unnamed(before[1] if before else "", value):
+            kind = "token"
         if kind:
             found.extend(Secret(a, b, kind) for a, b in spans)
     for m in _LINE.finditer(text):
@@ -206,6 +221,14 @@ def _in_code(text: str, found: list[Secret], free) -> None:
                 found.append(Secret(*m.span(2), "token"))
             elif h and (is_random(h[1]) or is_password(h[1], True)) and re.search(r"(?i)auth|header|bearer", m[1] + m[2]):
                 found.append(Secret(m.start(2) + h.start(1), m.start(2) + h.end(1), "header"))
+    strings = [(m.start(), m.end()) for m in quoted]
+    at = 0
+    for m in _BARE.finditer(text):
+        while at < len(strings) and strings[at][1] <= m.start():
+            at += 1
+        before = _BEFORE.search(text, max(0, m.start() - 90), m.start())
+        if not (at < len(strings) and strings[at][0] < m.end()) and free(*m.span()) and _unnamed(before[1] if before else "", m[0]):
+            found.append(Secret(*m.span(), "token"))
     for m in _ELEMENT.finditer(text) if "</" in text else ():
         if free(*m.span(2)) and _value(m[1], m[2]):
             found.append(Secret(*m.span(2), "token"))

@@ -51,3 +51,11 @@ def test_operator(spark):
     got = C.credentials(rows, "id", "label").collect()
     assert sorted((r["rec_key"] or "", r["secrets"]) for r in got) == [("", 1), ("1", 1), ("1", 1)]
     assert C.credentials(rows.limit(0), "id", "label").count() == 0
+
+
+def test_long_tokens_without_a_telling_name():
+    for text in (f"client('host', '{RANDOM}')", f'const k = "{RANDOM}"', f'xs = ["one", "{RANDOM}"]', f"run with {RANDOM} on the host"):
+        s = C.find_secrets(text)
+        assert [text[x.start : x.end] for x in s] == [RANDOM]
+    for text in (f'etag = "{RANDOM}"', f'image = "{RANDOM}"', "f('resolveBudgetContextNumber12Of')", "see https://h.invalid/Xk9fQ2mZ7LpR4vTn8WcY3bHd"):
+        assert not C.find_secrets(text)
