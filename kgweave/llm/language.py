@@ -211,8 +211,8 @@ def fit(documents: DataFrame, docs_per_language: int = FIT_DOCS) -> LanguageMode
         share = min(1.0, docs_per_language / n)
         chosen = chosen | ((F.col("code") == code) & (F.pmod("h", F.lit(1_000_003)) <= int(1_000_003 * share)))
     texts: dict[str, list[list[list[str]]]] = {code: [] for code in sorted(sizes)}
-    # one scan for all languages; texts of any length count with their first 20,000 characters in the fit (not in the labelling)
-    sample = rows.where(chosen).select("code", F.substring("text", 1, 20_000)).limit(2 * docs_per_language * len(LANGS)).collect()
+    # one scan for all languages; whole texts
+    sample = rows.where(chosen).select("code", "text").limit(2 * docs_per_language * len(LANGS)).collect()
     for code, text in sorted(map(tuple, sample)):
         if len(texts[code]) < 2 * docs_per_language:
             texts[code].append([x[2] for x in sentences(text)])

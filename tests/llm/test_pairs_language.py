@@ -102,3 +102,8 @@ def test_lcs_equals_brute_force():
             return 0 if i == len(a) or j == len(b) else 1 + f(i + 1, j + 1) if a[i] == b[j] else max(f(i + 1, j), f(i, j + 1))
 
         assert P.lcs(a, b) == f(0, 0)
+
+
+def test_fit_reads_whole_texts(docs, model):
+    late = L.fit(docs.withColumn("text", F.concat(F.lit("1 " * 11_000 + "\n\n"), "text")))
+    assert bytes(late.slots) == bytes(model.slots)
