@@ -30,7 +30,7 @@ def _ends(graph: Graph, communities: DataFrame) -> DataFrame:
     out = graph.edges.select("source", "target", "relation", "confidence", "confidence_score")
     for p, end in (("s", "source"), ("t", "target")):
         side = facts.select(F.col("id").alias(end), *(F.col(c).alias(f"{p}_{c}") for c in ("label", "source_file", "is_file", "is_concept", "community_id")))
-        out = join_unique(out, side, end, "left", heavy_keys(out, end))
+        out = join_unique(out, side, end, "left", graph.hubs)
         out = out.withColumn(f"{p}_label", F.coalesce(f"{p}_label", F.lit("unknown"))).withColumn(f"{p}_source_file", F.coalesce(f"{p}_source_file", F.lit("")))
         out = out.withColumn(f"{p}_is_file", F.coalesce(f"{p}_is_file", F.lit(False))).withColumn(f"{p}_is_concept", F.coalesce(f"{p}_is_concept", F.lit(True)))
     return out

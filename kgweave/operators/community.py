@@ -113,7 +113,7 @@ def detect_communities(graph: Graph, gamma: float = 1.0, min_size: int = MIN_SIZ
         mode = "exact" if graph.nodes.count() + graph.edges.count() <= EXACT_LIMIT else "distributed"
     nodes = graph.nodes.select(F.col("id").alias("node_id"))
     if mode == "distributed":
-        return _numbered(_distributed(nodes, adj, gamma, min_size, scratch))
+        return _numbered(_distributed(nodes, adj, gamma, min_size, graph.hubs, scratch))
     rows = nodes.select(F.col("node_id").alias("node"), F.lit(None).cast("string").alias("neighbour")).unionByName(adj)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -131,12 +131,12 @@ def detect_communities(graph: Graph, gamma: float = 1.0, min_size: int = MIN_SIZ
     return _numbered(scratch.save(found))
 
 
-def _distributed(nodes: DataFrame, adj: DataFrame, gamma: float, min_size: int, scratch: Scratch) -> DataFrame:
+def _distributed(nodes: DataFrame, adj: DataFrame, gamma: float, min_size: int, hubs: list, scratch: Scratch) -> DataFrame:
     """node_id, c: the communities of ``local_moving`` and ``merge_small``, numbers included."""
     ranked = scratch.save(global_rank(nodes, ["node_id"], "pos"))
     near = scratch.save(adj.where(F.col("node").isNotNull() & F.col("neighbour").isNotNull()))
-    coded = join_unique(near, ranked.select(F.col("node_id").alias("node"), F.col("pos").alias("u")), "node", "inner", heavy_keys(near, "node"))
-    coded = scratch.save(join_unique(coded, ranked.select(F.col("node_id").alias("neighbour"), F.col("pos").alias("v")), "neighbour", "left", heavy_keys(near, "neighbour")).select("u", "v"))
+    coded = join_unique(near, ranked.select(F.col("node_id").alias("node"), F.col("pos").alias("u")), "node", "inner", hubs)
+    coded = scratch.save(join_unique(coded, ranked.select(F.col("node_id").alias("neighbour"), F.col("pos").alias("v")), "neighbour", "left", hubs).select("u", "v"))
     m = coded.count() / 2
     placed = scratch.save(_placed(ranked.select("pos").join(coded.groupBy(F.col("u").alias("pos")).agg(F.count(F.lit(1)).alias("k")), "pos", "left").na.fill(0)))
     hot = heavy_keys(coded, "u")

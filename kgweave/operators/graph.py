@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ class Graph:
     edges: DataFrame
     directed: bool = False
 
+    @cached_property
+    def hubs(self) -> list:
+        """Ids at a large share of the edges' ends, found once a graph: the heavy keys of every table derived from its edges."""
+        return heavy_keys(self.edges.select(F.explode(F.array("source", "target")).alias("id")), "id")
+
 
 def _pick(df: DataFrame, keys: Sequence[str], rank: Sequence[Column]) -> DataFrame:
     """The row of each key with the greatest rank, by partial aggregation (no window over a hot key)."""
@@ -150,7 +156,7 @@ def neighbours(graph: Graph) -> DataFrame:
     """node, neighbour, label: neighbours that have a node."""
     adj = adjacency(graph)
     named = graph.nodes.select(F.col("id").alias("neighbour"), "label")
-    return join_unique(adj, named, "neighbour", "inner", heavy_keys(adj, "neighbour"))
+    return join_unique(adj, named, "neighbour", "inner", graph.hubs)
 
 
 def assigned(communities: DataFrame) -> DataFrame:
@@ -158,10 +164,10 @@ def assigned(communities: DataFrame) -> DataFrame:
     return communities.where(F.col("node_id").isNotNull()).groupBy("node_id").agg(F.min("community_id").alias("community_id"))
 
 
-def _ends(pairs: DataFrame, of: DataFrame, a: str, b: str, how: str = "inner") -> DataFrame:
-    """Adds ca and cb, the communities of the columns a and b."""
-    out = join_unique(pairs, of.select(F.col("node_id").alias(a), F.col("community_id").alias("ca")), a, how, heavy_keys(pairs, a))
-    return join_unique(out, of.select(F.col("node_id").alias(b), F.col("community_id").alias("cb")), b, how, heavy_keys(out, b))
+def _ends(pairs: DataFrame, of: DataFrame, a: str, b: str, heavy: list, how: str = "inner") -> DataFrame:
+    """Adds ca and cb, the communities of the columns a and b; ``heavy`` holds the graph's hubs."""
+    out = join_unique(pairs, of.select(F.col("node_id").alias(a), F.col("community_id").alias("ca")), a, how, heavy)
+    return join_unique(out, of.select(F.col("node_id").alias(b), F.col("community_id").alias("cb")), b, how, heavy)
 
 
 def cohesion(graph: Graph, communities: DataFrame) -> DataFrame:
@@ -169,7 +175,7 @@ def cohesion(graph: Graph, communities: DataFrame) -> DataFrame:
     of = assigned(communities)
     adj = adjacency(graph)
     pairs = adj.where("node < neighbour") if graph.directed else adj.select(F.least("node", "neighbour").alias("node"), F.greatest("node", "neighbour").alias("neighbour")).where("node < neighbour").distinct()
-    inside = _ends(pairs, of, "node", "neighbour").where("ca = cb").groupBy(F.col("ca").alias("community_id")).agg(F.count(F.lit(1)).alias("k"))
+    inside = _ends(pairs, of, "node", "neighbour", graph.hubs).where("ca = cb").groupBy(F.col("ca").alias("community_id")).agg(F.count(F.lit(1)).alias("k"))
     sizes = of.groupBy("community_id").agg(F.count(F.lit(1)).alias("size"))
     most = F.greatest(F.lit(1).cast("bigint"), F.expr("size * (size - 1) div 2"))
     return sizes.join(inside, "community_id", "left").select("community_id", "size", (F.coalesce("k", F.lit(0)) / most).alias("score"))
@@ -179,7 +185,7 @@ def community_stats(graph: Graph, communities: DataFrame) -> DataFrame:
     """community_id, sigma_tot (summed degrees), sigma_in (twice the edges inside)."""
     of = assigned(communities)
     total = degrees(graph).join(of, F.col("id") == F.col("node_id")).groupBy("community_id").agg(F.sum("degree").alias("sigma_tot"))
-    inside = _ends(graph.edges.select("source", "target"), of, "source", "target").where("ca = cb").groupBy(F.col("ca").alias("community_id")).agg((2 * F.count(F.lit(1))).alias("sigma_in"))
+    inside = _ends(graph.edges.select("source", "target"), of, "source", "target", graph.hubs).where("ca = cb").groupBy(F.col("ca").alias("community_id")).agg((2 * F.count(F.lit(1))).alias("sigma_in"))
     return total.join(inside, "community_id", "full_outer").na.fill(0)
 
 
@@ -214,7 +220,7 @@ def top_per_group(rows: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 def super_edges(graph: Graph, communities: DataFrame) -> DataFrame:
     """source, target (community ids, source < target), n_edges, bridges (the five first source nodes)."""
-    between = _ends(graph.edges.select("source", "target"), assigned(communities), "source", "target").where("ca <> cb")
+    between = _ends(graph.edges.select("source", "target"), assigned(communities), "source", "target", graph.hubs).where("ca <> cb")
     rows = between.select(F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2"), F.col("source").alias("node"))
     counts = rows.groupBy("c1", "c2", "node").agg(F.count(F.lit(1)).alias("k"))
     total = counts.groupBy("c1", "c2").agg(F.sum("k").alias("n_edges"))

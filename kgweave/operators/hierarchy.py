@@ -103,7 +103,7 @@ def _cycle_roots(caught: DataFrame, scratch: Scratch) -> DataFrame:
     state = scratch.save(caught.select("node", F.col("parent").alias("anc")))
     for _ in range(max(1, math.ceil(math.log2(n)))):
         hop = state.select(F.col("node").alias("anc"), F.col("anc").alias("up"))
-        fresh = scratch.save(join_unique(state, hop, "anc", "inner", heavy_keys(state, "anc", total=n)).select("node", F.col("up").alias("anc")))
+        fresh = scratch.save(join_unique(state, hop, "anc", "inner", heavy_keys(state, "anc")).select("node", F.col("up").alias("anc")))
         scratch.drop(state)
         state = fresh
     # after n or more steps up, every node's ancestor is on its cycle, and every node of the cycle is met
@@ -120,7 +120,7 @@ def _cycle_roots(caught: DataFrame, scratch: Scratch) -> DataFrame:
             break
     lows = ring.select(F.col("node").alias("anc"), F.col("low").alias("root"))
     on_cycle = ring.select("node", F.lit(True).alias("on_cycle"))
-    rooted = join_unique(state, lows, "anc", "inner", heavy_keys(state, "anc", total=n)).select("node", "root")
+    rooted = join_unique(state, lows, "anc", "inner", heavy_keys(state, "anc")).select("node", "root")
     return rooted.join(on_cycle, "node", "left").na.fill(False, ["on_cycle"])
 
 
@@ -138,7 +138,7 @@ def hierarchy(edges: DataFrame, relations=RELATIONS) -> DataFrame:
     raw = scratch.save(all_links(edges, relations))
     links = scratch.save(raw.groupBy(F.col("target").alias("node")).agg(F.min("source").alias("parent")))
     total = links.count()
-    heavy = heavy_keys(links, "parent", total=total)
+    heavy = heavy_keys(links, "parent")
     tops = raw.select(F.col("source").alias("node")).distinct().join(links.select("node"), "node", "left_anti")
     core = scratch.save(
         links.select("node", "parent").unionByName(tops.select("node", F.lit(None).cast("string").alias("parent"))).withColumn("acc", F.lit(0).cast("bigint"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kgweave.functions.text import file_base_name
 from kgweave.operators.graph import Graph, _pick, adjacency, centroids
-from kgweave.runtime import heavy_keys, join_unique
+from kgweave.runtime import heavy_keys, join_salted, join_unique
 
 DEPENDENCIES = ("imports", "imports_from", "depends_on")
 #: Nodes with more neighbours give no shared context; this also bounds the pairs of a node.
@@ -45,11 +45,11 @@ def transitive_dependencies(graph: Graph, mode: str = "transitive") -> DataFrame
     """depends_on edges A->C from A->B->C (``transitive``), or between all ends that depend on one B (``codependent``).
 
     No self-loops, none that exists in either direction. A hub B makes as many pairs as the result has; the join runs on
-    distinct pairs and its heavy keys are split by Spark's skew handling.
+    distinct pairs, and a hub's are spread over many tasks.
     """
     dep = graph.edges.where(F.col("relation").isin(*DEPENDENCIES)).select("source", "target").distinct()
     second = dep.select(F.col("source").alias("mid"), F.col("target").alias("end")) if mode == "transitive" else dep.select(F.col("target").alias("mid"), F.col("source").alias("end"))
-    pairs = dep.withColumnRenamed("target", "mid").join(second, "mid").where("source <> end").select("source", F.col("end").alias("target")).distinct()
+    pairs = join_salted(dep.withColumnRenamed("target", "mid"), second, "mid", graph.hubs).where("source <> end").select("source", F.col("end").alias("target")).distinct()
     return _edges(_without_existing(pairs, graph), "depends_on", 0.4, "inferred:transitive-dependency")
 
 
@@ -60,14 +60,14 @@ def codependent_groups(graph: Graph) -> DataFrame:
     """
     dep = graph.edges.where(F.col("relation").isin(*DEPENDENCIES)).select("source", "target").distinct()
     size = dep.groupBy("target").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    return join_unique(dep, size, "target", "inner", heavy_keys(dep, "target")).select(F.col("target").alias("shared"), F.col("source").alias("member"), "group_size")
+    return join_unique(dep, size, "target", "inner", graph.hubs).select(F.col("target").alias("shared"), F.col("source").alias("member"), "group_size")
 
 
 def shared_context(graph: Graph, least: int = 3) -> DataFrame:
     """Edges between ids with ``least`` or more common neighbours; hubs of more than 64 neighbours share nothing."""
     adj = adjacency(graph)
     small = adj.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= MAX_SHARED_NEIGHBOURS).select("node")
-    a = join_unique(adj, small.withColumn("small", F.lit(True)), "node", "inner", []).select("node", "neighbour")
+    a = join_unique(adj, small.withColumn("small", F.lit(True)), "node", "inner", graph.hubs).select("node", "neighbour")
     pairs = a.withColumnRenamed("neighbour", "source").join(a.withColumnRenamed("neighbour", "target"), "node").where("source < target")
     counts = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
     return _edges(_without_existing(counts, graph), "conceptually_related_to", F.least(F.lit(0.9), F.lit(0.2) * F.col("shared")), "inferred:shared-context")
@@ -82,7 +82,7 @@ def code_document_links(graph: Graph) -> DataFrame:
     def aligned(key: str, rank: int, name: str) -> DataFrame:
         c = code.where(F.col(key) != "").select(F.col("id").alias("source"), key)
         d = doc.where(F.col(key) != "").select(F.col("id").alias("target"), key)
-        return c.join(d, key).where("source <> target").select("source", "target", F.lit(rank).alias("rank"), F.lit(f"inferred:code-doc-{name}").alias("origin"))
+        return join_salted(c, d, key, heavy_keys(c, key)).where("source <> target").select("source", "target", F.lit(rank).alias("rank"), F.lit(f"inferred:code-doc-{name}").alias("origin"))
 
     pairs = aligned("label", 0, "name").unionByName(aligned("base", 1, "path"))
     first = pairs.groupBy("source", "target").agg(F.min_by("origin", "rank").alias("origin"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgweave.operators.graph import Graph, subgraph
-from kgweave.runtime import Scratch, heavy_keys, join_unique
+from kgweave.runtime import Scratch, join_unique
 
 
 def _links(graph: Graph, direction: str) -> DataFrame:
@@ -25,15 +25,15 @@ def reach(graph: Graph, seeds: DataFrame, max_depth: int | None = None, directio
     spark = seeds.sparkSession
     scratch = Scratch(spark)
     links = scratch.save(_links(graph, direction))
-    heavy = heavy_keys(links, "source")
+    heavy = graph.hubs
     level = scratch.save(seeds.where(F.col("id").isNotNull()).select("id").distinct().select("id", F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent")))
     seen, k = level, 0
     while max_depth is None or k < max_depth:
         k += 1
         front = level.select(F.col("id").alias("source"), F.lit(True).alias("at"))
         next_rows = join_unique(links, front, "source", "inner", heavy).groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent"))
-        level = scratch.save(next_rows.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("level"), "parent"))
-        if not level.limit(1).count():
+        level, n = scratch.save_counted(next_rows.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("level"), "parent"))
+        if not n:
             break
         seen = seen.unionByName(level)
     return seen
@@ -54,14 +54,14 @@ def shortest_path(graph: Graph, source: str, target: str, direction: str = "out"
     if source == target:
         return [source]
     links = scratch.save(_links(graph, direction))
-    heavy = heavy_keys(links, "source")
+    heavy = graph.hubs
     levels = [scratch.save(spark.createDataFrame([(source, None)], "id string, parent string"))]
     seen = levels[0]
     while True:
         front = levels[-1].select(F.col("id").alias("source"), F.lit(True).alias("at"))
         rows = join_unique(links, front, "source", "inner", heavy).groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent"))
-        level = scratch.save(rows.join(seen.select("id"), "id", "left_anti").select("id", "parent"))
-        if not level.limit(1).count():
+        level, n = scratch.save_counted(rows.join(seen.select("id"), "id", "left_anti").select("id", "parent"))
+        if not n:
             return None
         levels.append(level)
         seen = seen.unionByName(level)
