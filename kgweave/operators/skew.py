@@ -51,25 +51,28 @@ def eager_join_agg(
     return out.drop(*drop).withColumnRenamed("k", on) if keep_key else out.drop(*drop)
 
 
-def _side(edges: DataFrame, key: str, other: str, p: str) -> DataFrame:
-    """One compact row a key: rows, distinct neighbours, summed weight."""
-    rows = edges.where(not_blank(key)).groupBy(F.col(key).alias("node_key"), F.col(other).alias("o")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("weight"), F.lit(0.0))).alias("w")
-    )
-    return rows.groupBy("node_key").agg(
+def _side(edges: DataFrame, key: str, other: str, p: str, neighbours: bool) -> DataFrame:
+    """One compact row a key: rows, summed weight and, where asked, distinct neighbours, which need a level of their own."""
+    weight = F.coalesce(F.col("weight"), F.lit(0.0))
+    rows = edges.where(not_blank(key))
+    if not neighbours:
+        return rows.groupBy(F.col(key).alias("node_key")).agg(F.count(F.lit(1)).alias(f"{p}_rows"), F.sum(weight).alias(f"{p}_weight"))
+    pairs = rows.groupBy(F.col(key).alias("node_key"), F.col(other).alias("o")).agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
+    return pairs.groupBy("node_key").agg(
         F.sum("n").alias(f"{p}_rows"), F.sum((F.coalesce(F.col("o"), F.lit("")) != "").cast("bigint")).alias(f"{p}_neighbours"), F.sum("w").alias(f"{p}_weight")
     )
 
 
-def key_profile(edges: DataFrame) -> DataFrame:
+def key_profile(edges: DataFrame, neighbours: bool = True) -> DataFrame:
     """node_key, out_rows, out_neighbours, out_weight, in_rows, in_neighbours, in_weight, two_hop_rows for every key.
 
     ``two_hop_rows`` is the number of rows of edges JOIN edges ON target = source through the key: the product of the
     two compact counts. Repeated rows count in ``*_rows``, once in ``*_neighbours``. Null or empty keys are no keys; an
-    empty or null other end counts as a row but as no neighbour. An empty table gives no rows.
+    empty or null other end counts as a row but as no neighbour. An empty table gives no rows. Without ``neighbours`` the
+    two columns are left out, and each side sends one row a key and task.
     """
     e = edges.select("source", "target", "weight")
-    joined = _side(e, "source", "target", "out").join(_side(e, "target", "source", "in"), "node_key", "full_outer").na.fill(0)
+    joined = _side(e, "source", "target", "out", neighbours).join(_side(e, "target", "source", "in", neighbours), "node_key", "full_outer").na.fill(0)
     return joined.withColumn("two_hop_rows", F.col("out_rows") * F.col("in_rows"))
 
 
@@ -95,7 +98,7 @@ def neighbour_lists(edges: DataFrame) -> DataFrame:
 def heavy_endpoints(edges: DataFrame, share: float = 0.01) -> DataFrame:
     """endpoint, node_key, n of the keys that fill at least ``share`` of all rows of ``edges``, blanks aside."""
     total = edges.count()
-    profile = key_profile(edges)
+    profile = key_profile(edges, neighbours=False)
     parts = [
         profile.where((F.col(n) > 0) & (F.col(n) >= F.lit(share * total * (1 - 1e-12)))).select(F.lit(e).alias("endpoint"), "node_key", F.col(n).alias("n"))
         for e, n in (("source", "out_rows"), ("target", "in_rows"))
