@@ -80,3 +80,14 @@ def test_hot_parent_is_split(edges, monkeypatch):
     got = check(edges, links)
     entries = [r["entry"] for r in got.values()]
     assert len(set(entries)) == len(entries) and got["hub"]["n_descendants"] == 50
+
+
+def test_intervals_of_a_long_chain_and_a_wide_tree(spark, edges):
+    chain = [(f"n{k:03d}", f"n{k + 1:03d}") for k in range(40)]
+    wide = [("top", f"w{k:03d}") for k in range(50)]
+    tree = H.hierarchy(edges(*chain, *wide, relation="contains"))
+    got = {tuple(r) for r in H.descendants(tree).collect()}
+    want = {(f"n{a:03d}", f"n{b:03d}", b - a) for a in range(41) for b in range(a + 1, 41)} | {("top", f"w{k:03d}", 1) for k in range(50)}
+    assert got == want and H.descendants(tree).count() == len(want)
+    paths = {r["node_id"]: r["path"] for r in H.ancestor_paths(tree).collect()}
+    assert paths["n040"] == [f"n{k:03d}" for k in range(41)] and paths["top"] == ["top"] and len(paths) == 92
