@@ -28,30 +28,42 @@ def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
     return words.groupBy("rec_key", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_scores(rows: DataFrame, key: str = "id", text: str = "label", mu: float = MU, min_df: int = MIN_DF, max_df: int | None = None, min_length: int = 1) -> DataFrame:
+def term_scores(rows: DataFrame, key: str = "id", text: str = "label", mu: float = MU, min_df: int = MIN_DF, rare_df: int | None = None, min_length: int = 1) -> DataFrame:
     """rec_key, term, tf, df, cf, record_length, score for every term of every record in at least ``min_df`` records.
 
-    ``max_df`` and ``min_length`` keep only rarer or longer terms of the result; every count is over all terms and rows.
+    With ``rare_df`` only terms as characteristic as rare ones stay: the score must reach ``least``, which the term would have
+    here if it were as frequent in the collection as the most frequent term of ``rare_df`` records or fewer. The score falls
+    as the collection's count grows, so every term of ``rare_df`` records passes, in any collection. ``min_length`` keeps
+    only longer terms of the result; every count is over all terms and rows.
     Rows of one key are one record. Null keys are left out; null and empty texts have no terms; repeated rows count
     again, as they do in the collection. Extra columns are ignored; an empty table gives no rows.
     """
     tf = term_counts(rows, key, text)
     lengths = tf.groupBy("rec_key").agg(F.sum("tf").alias("record_length"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    total = stats.agg(F.sum("cf")).first()[0] or 0
-    kept = stats.where(F.col("df") >= min_df)
-    kept = kept.where(F.col("df") <= max_df) if max_df is not None else kept
-    kept = kept.where(F.length("term") >= min_length)
-    # a term in at most max_df records cannot be heavy
-    heavy = [] if max_df is not None else heavy_keys(tf, "term")
+    total, edge = stats.agg(F.sum("cf"), F.max(F.when(F.col("df") <= (rare_df or 0), F.col("cf")))).first()
+    kept = stats.where((F.col("df") >= min_df) & (F.length("term") >= min_length))
+    if rare_df is not None:
+        kept = kept.where(F.col("cf") <= (edge or 0))  # what is more frequent scores less than ``least`` everywhere
+    # a term of so few occurrences cannot be heavy
+    heavy = heavy_keys(tf, "term") if rare_df is None else []
     scored = join_unique(tf, kept, "term", "inner", heavy).join(lengths, "rec_key")
-    pc = F.col("cf") / F.lit(float(max(total, 1)))
-    pr = (F.col("tf") + F.lit(mu) * pc) / (F.col("record_length") + F.lit(mu))
-    return scored.select("rec_key", "term", "tf", "df", "cf", "record_length", (pr * F.log(pr / pc)).alias("score"))
+
+    def divergence(cf: Column) -> Column:
+        pc = cf / F.lit(float(max(total or 0, 1)))
+        pr = (F.col("tf") + F.lit(mu) * pc) / (F.col("record_length") + F.lit(mu))
+        return pr * F.log(pr / pc)
+
+    out = scored.select("rec_key", "term", "tf", "df", "cf", "record_length", divergence(F.col("cf")).alias("score"), divergence(F.lit(edge or 1)).alias("least"))
+    return out.drop("least") if rare_df is None else out.where(F.col("score") >= F.col("least") - 1e-12).drop("least")
 
 
 def shared_rare_terms(scores: DataFrame) -> DataFrame:
-    """node_a, node_b: pairs of records that share a scored term. For scores cut at a small ``max_df``, which bounds the pairs of a term."""
-    lists = scores.groupBy("term").agg(F.sort_array(F.collect_set("rec_key")).alias("keys"))
-    left = lists.select("keys", F.posexplode("keys").alias("at", "node_a"))
-    return left.select("node_a", F.explode(F.slice("keys", F.col("at") + 2, F.size("keys"))).alias("node_b")).distinct()
+    """node_a, node_b, terms, weight: pairs of records that share a term, and the scores that both have for the shared terms.
+
+    For scores of terms in few records, which bounds the pairs of a term.
+    """
+    lists = scores.groupBy("term").agg(F.sort_array(F.collect_list(F.struct(F.col("rec_key").alias("node"), "score"))).alias("held"))
+    left = lists.select("held", F.posexplode("held").alias("at", "a"))
+    pairs = left.select("a", F.explode(F.slice("held", F.col("at") + 2, F.size("held"))).alias("b"))
+    return pairs.groupBy(F.col("a.node").alias("node_a"), F.col("b.node").alias("node_b")).agg(F.count(F.lit(1)).alias("terms"), F.sum(F.col("a.score") + F.col("b.score")).alias("weight"))

@@ -8,9 +8,17 @@ from kgweave.llm import credentials, distinctive, language, leakage, packing, pa
 from kgweave.runtime import table
 
 
+def _p1_pairs(spark, d):
+    scores = distinctive.term_scores(table(spark, d, "nodes"), rare_df=3, min_length=6)
+    return distinctive.shared_rare_terms(scores.where("df <= 3"))
+
+
 def p1_found(spark, d):
-    scores = distinctive.term_scores(table(spark, d, "nodes"), max_df=3, min_length=6)
-    return distinctive.shared_rare_terms(scores)
+    return _p1_pairs(spark, d).select("node_a", "node_b")
+
+
+def p1_pairs(spark, d):
+    return _p1_pairs(spark, d).select("node_a", "node_b", "terms", F.round("weight", 6).alias("weight"))
 
 
 def p1_scores(spark, d):
@@ -68,7 +76,7 @@ def p9_segments(spark, d):
     return language.label_segments(docs, language.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_redacted, p5_found, p5_kinds, p6_found, p7_containers, p7_fill, p8_found, p8_matches, p9_found, p9_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_scores, p2_found, p2_redacted, p5_found, p5_kinds, p6_found, p7_containers, p7_fill, p8_found, p8_matches, p9_found, p9_segments)}
 
 _WORDS = r"""
 words AS (
@@ -83,6 +91,11 @@ tot AS (SELECT sum(cf) AS total FROM st)
 ORACLE = {
     "p1_found": f"""WITH {_WORDS}, r AS (SELECT t.rec_key, t.term FROM tf t JOIN st s USING (term) WHERE s.df <= 3 AND length(t.term) >= 6)
         SELECT DISTINCT a.rec_key AS node_a, b.rec_key AS node_b FROM r a JOIN r b USING (term) WHERE a.rec_key < b.rec_key""",
+    "p1_pairs": f"""WITH {_WORDS}, x AS (
+          SELECT t.rec_key, t.term, s.cf / total AS pc, (t.tf + {distinctive.MU} * (s.cf / total)) / (ln.n + {distinctive.MU}) AS pr
+          FROM tf t JOIN st s USING (term) JOIN ln USING (rec_key) CROSS JOIN tot WHERE s.df BETWEEN 2 AND 3 AND length(t.term) >= 6),
+        r AS (SELECT rec_key, term, pr * ln(pr / pc) AS score FROM x)
+        SELECT a.rec_key AS node_a, b.rec_key AS node_b, count(*) AS terms, round(sum(a.score + b.score), 6) AS weight FROM r a JOIN r b USING (term) WHERE a.rec_key < b.rec_key GROUP BY ALL""",
     "p1_scores": f"""WITH {_WORDS}, x AS (
           SELECT t.rec_key, t.term, t.tf, s.df, s.cf / total AS pc, (t.tf + {distinctive.MU} * (s.cf / total)) / (ln.n + {distinctive.MU}) AS pr
           FROM tf t JOIN st s USING (term) JOIN ln USING (rec_key) CROSS JOIN tot WHERE s.df >= {distinctive.MIN_DF})

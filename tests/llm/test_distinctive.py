@@ -44,4 +44,17 @@ def test_pairs_equal_brute_force(spark):
             if k is not None and len(w) >= 6:
                 by[w].add(k)
     want = {p for s in by.values() if len(s) <= 3 for p in combinations(sorted(s), 2)}
-    assert {tuple(r) for r in D.shared_rare_terms(D.term_scores(df, max_df=3, min_length=6)).collect()} == want == {("a", "b")}
+    scores = D.term_scores(df, rare_df=3, min_length=6)
+    got = D.shared_rare_terms(scores.where("df <= 3"))
+    assert {(r["node_a"], r["node_b"]) for r in got.collect()} == want == {("a", "b")}
+    one = {r["rec_key"]: r["score"] for r in scores.where("term = 'zebraish'").collect()}
+    assert abs(got.first()["weight"] - sum(one.values())) < 1e-12
+    assert "ln(" in scores._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_the_cut_keeps_every_rare_term(spark):
+    # in so small a collection the shared word is no more frequent in one label than in all, so its score is not positive
+    rows = [("a", "parser " + " ".join(f"w{chr(97 + k)}" for k in range(9))), ("b", "parser"), ("c", "common common common"), ("d", "common"), ("e", "common"), ("f", "common")]
+    df = spark.createDataFrame(rows, "id string, label string")
+    scores = D.term_scores(df, rare_df=3, min_length=6)
+    assert {(r["rec_key"], r["term"]) for r in scores.collect()} == {("a", "parser"), ("b", "parser")}
