@@ -54,11 +54,13 @@ _SPANS = re.compile(r"`[^`\n]*`|https?://\S+|<[^<>\n]{1,200}>|\(\s*[\"“«„][
 _NAMES = re.compile(
     r"\b\w+(?:[_/\\]\w+)+(?:\.\w+)*\b|\b\w*[a-z]\w*[A-Z]\w*\b|\b\w+(?:\.\w+)*\(\)|\b\w+\.(?:py|js|ts|go|rs|java|hs|md|json|ya?ml|txt|sh)\b|\$\{?\w+\}?|--\w[\w-]*"
 )
-#: What any identifier, path or option shows; most texts keep theirs in backticks and need no second pass.
-_NAMED = re.compile(r"\w[_/\\]\w|[a-z][^\sa-zA-Z]*[A-Z]|\w\(\)|\w\.[a-z]{2}|\$|--\w")
+#: What any identifier, path or option shows, each sought by its rarest character; most texts keep theirs in backticks and
+#: need no second pass.
+_NAMED = (re.compile(r"[_/\\$]"), re.compile(r"\.(?=[a-z]{2})"), re.compile(r"[A-Z](?<=[^\WA-Z][A-Z])"), re.compile(r"\(\)|--\w"))
 _BULLET = re.compile(r"^[ \t]*(?:[-*+•]|\d+[.)]|>)[ \t]+", re.M)
 _BREAK = re.compile(r"[.!?…]+[\"”»)’']*(?=\s|\Z)|\n[ \t]*\n|\n(?=[ \t]*(?:[-*+•>]|\d+[.)])[ \t])|(?<=[:;])\n")
-_LETTERS = re.compile(r"(?:[^\W\d_][̀-ͯ�]*)+")
+_ASCII_LETTERS = re.compile(r"[a-z]+")
+_LETTERS = re.compile(r"[^\W\d_]+(?:[̀-ͯ�]+[^\W\d_]*)*")
 _MOJIBAKE = re.compile("[ÂÃ][-¿ŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]")
 
 
@@ -98,12 +100,15 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     t = _MOJIBAKE.sub(_repair, text) if "Ã" in text or "Â" in text else text
     t = _HEADING.sub(lambda m: keep(m)[:-1] + "\n" if not m[0].endswith("\n") and m[0] else keep(m), _FENCE.sub(keep, t)) if "#" in t or "`" in t or "~" in t or "--" in t or "==" in t else t
     t = _SPANS.sub(blank, t)
-    if _NAMED.search(t):
+    if any(x.search(t) for x in _NAMED):
         t = _NAMES.sub(blank, t)
+    ascii_only, low = t.isascii(), t.lower()
+    if len(low) != len(t):  # a letter whose lower case is longer
+        low = t
     out, start = [], 0
     for m in [*_BREAK.finditer(t), None]:
         end = m.end() if m else len(t)
-        words = [plain(w) for w in _LETTERS.findall(t[start:end])]
+        words = _ASCII_LETTERS.findall(low, start, end) if ascii_only else [w if w.isascii() and low is not t else plain(w) for w in _LETTERS.findall(low, start, end)]
         if words:
             out.append((start, min(end, len(text)), words))
         start = end
@@ -115,6 +120,20 @@ def _grams(word: str) -> list[str]:
     return [w, *(w[i : i + N] for i in range(len(w) - N + 1))] if len(w) > N else [w]
 
 
+class _Words(dict):
+    """word -> its packed counts, forgotten when there are too many."""
+
+    def __init__(self, model: "LanguageModel"):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = out = self.model._word(word)
+        return out
+
+
 @dataclass
 class LanguageModel:
     """A bit-sliced Bloom filter over the n-grams of LANGS."""
@@ -122,7 +141,7 @@ class LanguageModel:
     slots: np.ndarray = field(default_factory=lambda: np.zeros(SLOTS, dtype=np.uint8))
 
     def __post_init__(self):
-        self._words: dict[str, int] = {}
+        self._words = _Words(self)
 
     @staticmethod
     def _at(gram: str) -> list[int]:
@@ -137,7 +156,7 @@ class LanguageModel:
     def finish(self) -> "LanguageModel":
         bits = (self.slots[:, None] >> np.arange(len(LANGS))) & 1
         self.false_rate = tuple(float(x) for x in bits.mean(axis=0) ** HASHES)
-        self._words = {}
+        self._words.clear()
         return self
 
     def mask(self, gram: str) -> int:
@@ -153,16 +172,11 @@ class LanguageModel:
             while m:
                 packed += (m & 1) << k
                 m, k = m >> 1, k + 32
-        if len(self._words) > 200_000:
-            self._words.clear()
-        self._words[word] = packed
         return packed
 
     def scores(self, words: list[str]) -> tuple[int, list[float]]:
         """n-grams looked up, and per language those it contains, corrected for false positives."""
-        known, total = self._words.get, 0
-        for w in words:
-            total += known(w) or self._word(w)
+        total = sum(map(self._words.__getitem__, words))
         n = total & 0xFFFFFFFF
         hits = [total >> 32 * (k + 1) & 0xFFFFFFFF for k in range(len(LANGS))]
         return n, [max(0.0, (h - n * f) / (1 - f)) if f < 1 else 0.0 for h, f in zip(hits, self.false_rate)]
@@ -172,12 +186,11 @@ class LanguageModel:
         if len(words) < MIN_WORDS:
             return None, 0.0
         n, c = self.scores(words)
-        best = max(range(len(c)), key=lambda i: (c[i], -i))
-        if c[best] < MIN_SHARE * n:
+        second, top = sorted(c)[-2:]
+        if top < MIN_SHARE * n:
             return None, 0.0
-        second = max(x for i, x in enumerate(c) if i != best)
-        lead = 1 - second / c[best]
-        return (LANGS[best], min(1.0, c[best] / n) * min(1.0, 0.5 + lead)) if lead > 0.02 else (None, 0.0)
+        lead = 1 - second / top
+        return (LANGS[c.index(top)], min(1.0, top / n) * min(1.0, 0.5 + lead)) if lead > 0.02 else (None, 0.0)
 
 
 def _build(counts: dict[str, Counter], share: float) -> LanguageModel:
@@ -211,9 +224,9 @@ def fit(documents: DataFrame, docs_per_language: int = FIT_DOCS) -> LanguageMode
         share = min(1.0, docs_per_language / n)
         chosen = chosen | ((F.col("code") == code) & (F.pmod("h", F.lit(1_000_003)) <= int(1_000_003 * share)))
     texts: dict[str, list[list[list[str]]]] = {code: [] for code in sorted(sizes)}
-    # one scan for all languages; whole texts
-    sample = rows.where(chosen).select("code", "text").limit(2 * docs_per_language * len(LANGS)).collect()
-    for code, text in sorted(map(tuple, sample)):
+    # one scan for all languages; whole texts, those of the least hashes
+    sample = rows.where(chosen).orderBy("h", "text").limit(2 * docs_per_language * len(LANGS)).select("code", "text").collect()
+    for code, text in sample:
         if len(texts[code]) < 2 * docs_per_language:
             texts[code].append([x[2] for x in sentences(text)])
     return fit_sentences(texts)
@@ -223,12 +236,15 @@ def fit_sentences(texts: dict[str, list[list[list[str]]]]) -> LanguageModel:
     def counted(keep) -> dict[str, Counter]:
         out = {}
         for code, docs in texts.items():
-            c: Counter = Counter()
+            seen: Counter = Counter()
             for doc in docs:
                 for words in doc:
                     if keep(code, words):
-                        for w in words:
-                            c.update(_grams(w))
+                        seen.update(words)
+            c: Counter = Counter()
+            for w, n in seen.items():
+                for g in _grams(w):
+                    c[g] += n
             out[code] = c
         return out
 
@@ -236,6 +252,10 @@ def fit_sentences(texts: dict[str, list[list[list[str]]]]) -> LanguageModel:
     return _build(counted(lambda code, words: first.language(words)[0] == code), 0.05)
 
 
+def _mean(values: list[float]) -> float:
+    return sum(values) / len(values)
+
+
 def label_text(model: LanguageModel, text: str | None) -> list[tuple[int, str | None, float, int, int, int]]:
     """[(segment, language, confidence, sentences, start, end)]: segment 0 is the whole text's main language, then the runs.
 
@@ -275,8 +295,8 @@ def label_text(model: LanguageModel, text: str | None) -> list[tuple[int, str |
     for lang, conf, _, _ in runs:
         total[lang] += conf
     main = max(total, key=lambda k: (len(total[k]), k))
-    out = [(0, main, float(np.mean(total[main])), sum(map(len, total.values())), 0, len(text))]
-    return out + [(k, r[0], float(np.mean(r[1])), len(r[1]), r[2], r[3]) for k, r in enumerate(runs, 1)]
+    out = [(0, main, _mean(total[main]), sum(map(len, total.values())), 0, len(text))]
+    return out + [(k, r[0], _mean(r[1]), len(r[1]), r[2], r[3]) for k, r in enumerate(runs, 1)]
 
 
 def label_segments(documents: DataFrame, model: LanguageModel) -> DataFrame:
