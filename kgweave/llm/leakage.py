@@ -19,12 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgweave.runtime import heavy_keys, join_unique
+
 SHINGLE = 5
 #: Words of an item's passage that a document must carry.
 MIN_WORDS = 25
-#: Shingles that some window of MIN_WORDS words keeps at least: the larger of two pieces has 13 words or more, and two exact
-#: runs of 5 with 3 words in the gap between them keep one each.
-MIN_SHARED = 2
 #: A gap between two exact runs of one piece, in words, on either side.
 MAX_GAP = 4
 #: A piece is running text of at least so many words.
@@ -50,9 +49,18 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(t.casefold())
 
 
-def passage_of(text: str | None) -> list[str]:
-    """Words of an item's passage: its longest paragraph, as instruction and question are paragraphs of their own."""
-    return max((words_of(p) for p in re.split(r"\n\s*\n", text or "")), key=len, default=[])
+def least_shared(min_words: int) -> int:
+    """Shingles that some window of ``min_words`` words keeps at least: those of the larger of two pieces, in which exact runs
+    of one shingle follow each other with less than MAX_GAP words between them."""
+    return 1 + max(0, -(-min_words // 2) - SHINGLE) // (SHINGLE + MAX_GAP - 1)
+
+
+def passage_of(paragraphs: list[tuple[str, bool]]) -> list[str]:
+    """Words of an item's passage: its longest paragraph, and the others that are neither a question nor, as instructions are,
+    shared by several items. ``paragraphs`` are (text, shared)."""
+    words = [words_of(p) for p, _ in paragraphs]
+    longest = max(range(len(words)), key=lambda k: len(words[k]), default=0)
+    return [w for k, (p, shared) in enumerate(paragraphs) if k == longest or not (shared or p.rstrip().endswith(("?", ":"))) for w in words[k]]
 
 
 def _key(words: list[str], at: int) -> int:
@@ -98,12 +106,13 @@ def carried_words(doc: list[str], item: list[str], hits: list[tuple[int, int]])
             e, f = e + 1, f + 1
         runs.append((a, b, e - a))
     runs = sorted(set(runs))
+    longest = max((n for _, _, n in runs), default=0)
     best: list[tuple[int, int, int]] = []  # of pieces ending with each run: words, item start, item end
     for k, (d, i, n) in enumerate(runs):
         top = (n, i, i + n)
         for j in range(k - 1, -1, -1):
             pd_, pi, pn = runs[j]
-            if d - pd_ - pn > 200:
+            if d - pd_ > longest + MAX_GAP:  # no earlier run reaches so far
                 break
             gd, gi = d - pd_ - pn, i - pi - pn
             over = max(0, -gd, -gi)
@@ -128,13 +137,17 @@ def carried_words(doc: list[str], item: list[str], hits: list[tuple[int, int]])
     return (two, 2) if two > one else (one, 1)
 
 
-def _item_words(items: DataFrame) -> list[tuple[int, list[str]]]:
-    """The held-out items; the caller's query set, a bounded table by its nature."""
-    rows = items.select("item_id", "text").where(F.col("item_id").isNotNull()).toLocalIterator()
-    return [(r[0], passage_of(r[1])) for r in rows]
+def _item_words(items: DataFrame):
+    """The held-out items' ids and passages, one after the other; no more than a block of them is ever held."""
+    rows = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
+    parts = rows.select("item_id", "text", F.posexplode(F.split("text", r"\n\s*\n")).alias("at", "part")).withColumn("key", F.lower(F.trim("part")))
+    shared = parts.groupBy("key").agg((F.count_distinct("item_id") > 1).alias("shared"))
+    whole = join_unique(parts, shared, "key", "inner", heavy_keys(parts, "key")).groupBy("item_id", "text").agg(F.sort_array(F.collect_list(F.struct("at", "part", "shared"))).alias("x"))
+    for r in whole.select("item_id", "x.part", "x.shared").toLocalIterator():
+        yield r[0], passage_of(list(zip(r[1], r[2])))
 
 
-def _blocks(items: list[tuple[int, list[str]]]):
+def _blocks(items):
     block, n = [], 0
     for x in items:
         if block and n + len(x[1]) > BLOCK_SHINGLES:
@@ -154,7 +167,7 @@ def leaked(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    parts = [_leaked_block(docs, block, min_words) for block in _blocks([x for x in _item_words(items) if len(x[1]) >= min_words])]
+    parts = [_leaked_block(docs, block, min_words) for block in _blocks(x for x in _item_words(items) if len(x[1]) >= min_words)]
     schema = "doc_id bigint, item_id bigint, carried_words int, pieces int, item_words int"
     if not parts:
         return spark.createDataFrame([], schema)
@@ -181,7 +194,8 @@ def _leaked_block(docs: DataFrame, block: list[tuple[int, list[str]]], min_words
     rarity = {r[0]: r[1] for r in docs.select("text").mapInPandas(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n")).collect()}
 
     window = min_words - SHINGLE + 1
-    prefix = max(1, window - MIN_SHARED + 1)
+    shared_least = least_shared(min_words)
+    prefix = max(1, window - shared_least + 1)
     index: dict[int, list[tuple[int, int]]] = defaultdict(list)  # all shingles of the items, for positions
     first: set[int] = set()  # shingles in a necessary prefix of some window
     for k, (_, ws) in enumerate(block):
@@ -205,7 +219,7 @@ def _leaked_block(docs: DataFrame, block: list[tuple[int, list[str]]], min_words
                 if len(words) < min_words:
                     continue
                 shingles = [(d, key) for d, key in _shingles(words, known) if key in index]
-                if len(shingles) < MIN_SHARED or not any(key in first for _, key in shingles):
+                if len(shingles) < shared_least or not any(key in first for _, key in shingles):
                     continue
                 hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
                 opened = {k for _, key in shingles if key in first for k, _ in index[key]}
@@ -214,7 +228,7 @@ def _leaked_block(docs: DataFrame, block: list[tuple[int, list[str]]], min_words
                         if k in opened:
                             hits[k].append((d, i))
                 for k, found in hits.items():
-                    if len({i for _, i in found}) < MIN_SHARED:  # too few shingles of the item for min_words words
+                    if len({i for _, i in found}) < shared_least:  # too few shingles of the item for min_words words
                         continue
                     n, pieces = carried_words(words, block[k][1], found)
                     if n >= min_words:

@@ -70,3 +70,31 @@ def test_two_edited_pieces(spark):
     doc = " ".join(["the"] * 5 + a + [f"x{k}" for k in range(40)] + b)
     got = L.leaked(spark.createDataFrame([(1, doc)], "doc_id bigint, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["carried_words"], r["pieces"]) for r in got] == [(1, 7, 26, 2)]
+
+
+def test_a_long_run_before_short_ones_is_chained():
+    item = [f"w{k}" for k in range(295)]
+    item += item[20:25]
+    doc = item[:260] + ["q"] + item[261:290]  # the first run starts before a short one that ends long before the next
+    hits = [(d, i) for d in range(len(doc) - 4) for i in range(296) if doc[d : d + 5] == item[i : i + 5]]
+    assert L.carried_words(doc, item, hits) == (289, 1)
+
+
+def test_every_paragraph_of_a_passage_counts(spark):
+    rng = random.Random(12)
+    items, docs = [], []
+    for k in range(3):
+        a, b = passage(rng, 40), passage(rng, 29)
+        items.append((k, "Read the passage and answer.\n\n" + " ".join(a) + ".\n\n" + " ".join(b) + ".\n\nWho did it, " + " ".join(passage(rng, 30)) + "?"))
+        docs.append((k, "so " * 9 + " ".join(b)))  # the shorter paragraph
+        docs.append((10 + k, "so " * 9 + items[-1][1].split("\n\n")[-1]))  # the question
+    got = L.leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["carried_words"]) for r in got) == [(k, k, 29) for k in range(3)]
+
+
+def test_short_items_with_a_lower_bound(spark):
+    rng = random.Random(13)
+    item = passage(rng, 9)
+    assert L.least_shared(25) == 2 and L.least_shared(9) == 1
+    got = L.leaked(spark.createDataFrame([(1, "so so " + " ".join(item) + " so")], "doc_id bigint, text string"), spark.createDataFrame([(4, " ".join(item))], "item_id bigint, text string"), min_words=9).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 4)]
