@@ -12,14 +12,14 @@ from kgweave.schema import confidence_rank
 
 STRUCTURAL = ("imports", "imports_from", "contains", "method")
 # Words that say nothing in a label.
-STOP_WORDS = (
+STOP_WORDS = tuple((
     "the a an is are was were be been have has had do does did will would can could may might shall should of in to for with on at from by and or not no but if then else this that these those it its as into through during "
     "before after which who what when where how why all each every both few more most other some such than too very also just about up out over only "
     "class module function def type data new get set make create return import void null true false const let var pub fn func self super init main error result ok err some none just test spec mock stub helper util utils "
     "config settings options params args default base abstract interface impl handler manager builder factory adapter info detail item entry record value list map set array vec pair run exec call apply compute process "
     "start stop begin end open close add remove update delete insert append "
     "node edge graph community cluster group source target weight score index"
-).split()
+).split())
 
 
 def _ends(graph: Graph, communities: DataFrame) -> DataFrame:
@@ -109,6 +109,15 @@ def label_terms(graph: Graph, communities: DataFrame) -> DataFrame:
     return join_unique(tf, df, "word", "inner", heavy_keys(tf, "word")).select("community_id", "word", "tf", "df")
 
 
+def simple_labels(graph: Graph, communities: DataFrame) -> DataFrame:
+    """community_id, label: the three most frequent words of the members' labels, ties by word, else 'Unnamed Community'."""
+    named = communities.select("community_id", "node_id").distinct().join(graph.nodes.select(F.col("id").alias("node_id"), "label"), "node_id")
+    w = named.select("community_id", F.explode(words(F.lower("label"))).alias("word")).where((F.length("word") > 1) & ~F.col("word").isin(*STOP_WORDS))
+    top = top_per_group(w.groupBy("community_id", "word").agg(F.count(F.lit(1)).alias("n")), ["community_id"], [F.col("n").desc(), F.col("word").asc()], 3)
+    label = top.groupBy("community_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "word"))), lambda x: capitalize(x["word"])), " ").alias("label"))
+    return communities.select("community_id").distinct().join(label, "community_id", "left").select("community_id", F.coalesce("label", F.lit("Unnamed Community")).alias("label"))
+
+
 def community_labels(graph: Graph, communities: DataFrame) -> DataFrame:
     """community_id, label: the three words of the highest tf * ln(communities / df), else 'Unnamed Community'."""
     n = communities.select("community_id").distinct().count()

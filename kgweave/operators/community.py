@@ -101,11 +101,12 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return out.select("community_id", "node_id")
 
 
-def detect_communities(graph: Graph, gamma: float = 1.0, min_size: int = MIN_SIZE, mode: str = "auto") -> DataFrame:
+def detect_communities(graph: Graph, gamma: float = 1.0, min_size: int = MIN_SIZE, mode: str = "auto", merge: str = "neighbour") -> DataFrame:
     """community_id, node_id: every node in exactly one community, numbered from 1 by least member.
 
     ``exact`` (up to EXACT_LIMIT nodes and links) is one task, ``distributed`` has no size limit; both give the same
-    communities. Higher ``gamma`` gives smaller communities.
+    communities. Higher ``gamma`` gives smaller communities. ``merge`` sends small ones to the ``neighbour`` with most links or
+    to the ``largest``.
     """
     scratch = Scratch(graph.edges.sparkSession)
     adj = adjacency(graph)
@@ -113,7 +114,7 @@ def detect_communities(graph: Graph, gamma: float = 1.0, min_size: int = MIN_SIZ
         mode = "exact" if graph.nodes.count() + graph.edges.count() <= EXACT_LIMIT else "distributed"
     nodes = graph.nodes.select(F.col("id").alias("node_id"))
     if mode == "distributed":
-        return _numbered(_distributed(nodes, adj, gamma, min_size, graph.hubs, scratch))
+        return _numbered(_distributed(nodes, adj, gamma, min_size, graph.hubs, scratch, merge))
     rows = nodes.select(F.col("node_id").alias("node"), F.lit(None).cast("string").alias("neighbour")).unionByName(adj)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -124,14 +125,14 @@ def detect_communities(graph: Graph, gamma: float = 1.0, min_size: int = MIN_SIZ
                 links[u].append(v)
         for x in links.values():
             x.sort()
-        comm = merge_small(links, local_moving(links, gamma), min_size)
+        comm = merge_small(links, local_moving(links, gamma), min_size, merge)
         return pd.DataFrame(sorted(comm.items()), columns=["node_id", "c"])
 
     found = rows.groupBy(F.lit(1).alias("g")).applyInPandas(kernel, "node_id string, c bigint")
     return _numbered(scratch.save(found))
 
 
-def _distributed(nodes: DataFrame, adj: DataFrame, gamma: float, min_size: int, hubs: list, scratch: Scratch) -> DataFrame:
+def _distributed(nodes: DataFrame, adj: DataFrame, gamma: float, min_size: int, hubs: list, scratch: Scratch, merge: str = "neighbour") -> DataFrame:
     """node_id, c: the communities of ``local_moving`` and ``merge_small``, numbers included."""
     ranked = scratch.save(global_rank(nodes, ["node_id"], "pos"))
     near = scratch.save(adj.where(F.col("node").isNotNull() & F.col("neighbour").isNotNull()))
@@ -156,7 +157,7 @@ def _distributed(nodes: DataFrame, adj: DataFrame, gamma: float, min_size: int,
         state = scratch.save(join_unique(marked, split, "c", "left", heavy_keys(marked, "c")).select("pos", "k", "block", F.when(F.col("well"), F.coalesce("fresh", "c")).otherwise(F.col("c")).alias("c")))
         if not split.limit(1).count():
             break
-    merged = _merged(state, links, min_size, hot, hot_v, scratch)
+    merged = _merged(state, links, min_size, hot, hot_v, scratch, merge)
     return ranked.join(merged, "pos").select("node_id", "c")
 
 
@@ -221,7 +222,7 @@ def _moved(state: DataFrame, links: DataFrame, gamma: float, m: float, hot_v: li
             return now.select("pos", "k", "block", F.col("n").alias("c"))
 
 
-def _merged(state: DataFrame, links: DataFrame, min_size: int, hot: list, hot_v: list, scratch: Scratch) -> DataFrame:
+def _merged(state: DataFrame, links: DataFrame, min_size: int, hot: list, hot_v: list, scratch: Scratch, merge: str) -> DataFrame:
     """pos, c with small communities merged as in ``merge_small``: each points to its goal, chains by pointer doubling."""
     size = scratch.save(state.groupBy("c").agg(F.count(F.lit(1)).alias("size")))
     small = size.where(F.col("size") < min_size).select("c")
@@ -232,6 +233,8 @@ def _merged(state: DataFrame, links: DataFrame, min_size: int, hot: list, hot_v:
     within = scratch.save(state.join(small, "c", "left_semi").select(F.col("pos").alias("u"), F.col("c").alias("cu")))
     ends = join_unique(links.join(within, "u"), state.select(F.col("pos").alias("v"), F.col("c").alias("cv")), "v", "inner", hot_v).where("cu <> cv")
     goal = ends.groupBy("cu", "cv").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("cu").alias("c")).agg(F.min(F.struct((-F.col("n")).alias("n"), "cv")).alias("x"))
+    if merge == "largest":
+        goal = goal.where(F.lit(False))
     to = scratch.save(small.join(goal, "c", "left").select("c", F.coalesce("x.cv", F.lit(largest)).alias("p")))
     # merges run in the order of the numbers, so the last of a ring stays; of rings of two that is seen at once
     back = to.select(F.col("c").alias("p"), F.col("p").alias("pp"))

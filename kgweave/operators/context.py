@@ -189,6 +189,12 @@ def with_chat_community(communities: DataFrame, conversations: DataFrame) -> Dat
     return communities.select("community_id", "node_id", "pos").unionByName(ranked.select(F.lit(CHAT_COMMUNITY).alias("community_id"), F.col("id").alias("node_id"), (F.lit(-1 if last is None else last) + 1 + F.col("rank")).cast("int").alias("pos")))
 
 
+def related_nodes(conversations: DataFrame, found: DataFrame) -> DataFrame:
+    """id, question, score, related (sorted ids of the relevant nodes, joined by ', ') of conversations that a search found."""
+    near = conversation_edges(conversations).select(F.col("source").alias("id"), "target").join(found.select("id"), "id", "left_semi")
+    return found.join(near.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("target")), ", ").alias("related")), "id", "left").select("id", "question", "score", F.coalesce("related", F.lit("")).alias("related"))
+
+
 def search_conversations(conversations: DataFrame, question: str, top: int = 10) -> DataFrame:
     """id, question, score: three a matching term of the question, one a term of the summary; ties by id."""
     terms = query_terms(question)

@@ -181,6 +181,21 @@ def cohesion(graph: Graph, communities: DataFrame) -> DataFrame:
     return sizes.join(inside, "community_id", "left").select("community_id", "size", (F.coalesce("k", F.lit(0)) / most).alias("score"))
 
 
+def cohesion_to_community(graph: Graph, communities: DataFrame) -> DataFrame:
+    """node_id, community_id, share: of each node's neighbours, those in each community that has any of them."""
+    adj = adjacency(graph)
+    n = adj.groupBy(F.col("node").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+    near = join_unique(adj, assigned(communities).withColumnRenamed("node_id", "neighbour"), "neighbour", "inner", graph.hubs)
+    return near.groupBy(F.col("node").alias("node_id"), "community_id").agg(F.count(F.lit(1)).alias("k")).join(n, "node_id").select("node_id", "community_id", (F.col("k") / F.col("n")).alias("share"))
+
+
+def verbose_nodes(graph: Graph, communities: DataFrame, bridges: DataFrame) -> DataFrame:
+    """id, label, kind, signature, lines, community_id, degree, is_bridge of every node."""
+    lines = F.concat(F.coalesce("source_location", F.lit("")), F.coalesce(F.concat(F.lit("-L"), F.col("line_end").cast("string")), F.lit("")))
+    rows = graph.nodes.join(degrees(graph), "id", "left").join(assigned(communities).withColumnRenamed("node_id", "id"), "id", "left").join(bridges.select("id").distinct().withColumn("b", F.lit(True)), "id", "left")
+    return rows.select("id", "label", "kind", "signature", lines.alias("lines"), "community_id", "degree", F.coalesce("b", F.lit(False)).alias("is_bridge"))
+
+
 def community_stats(graph: Graph, communities: DataFrame) -> DataFrame:
     """community_id, sigma_tot (summed degrees), sigma_in (twice the edges inside)."""
     of = assigned(communities)
@@ -197,7 +212,7 @@ def centroids(graph: Graph, communities: DataFrame) -> DataFrame:
 
 
 def super_nodes(graph: Graph, communities: DataFrame) -> DataFrame:
-    """community_id, size, label (three best connected members), members (first five listed).
+    """community_id, size, cohesion, label (three best connected members), members (first five listed).
 
     Ranks within a community are taken over rows with bounded keep: only the three and five best survive the partial
     aggregation, so a community with a third of all nodes is no burden.
@@ -208,7 +223,9 @@ def super_nodes(graph: Graph, communities: DataFrame) -> DataFrame:
     by_degree = top_per_group(named, ["community_id"], [F.col("degree").desc(), F.col("node_id").asc()], 3)
     by_pos = top_per_group(named, ["community_id"], [F.col("pos").asc(), F.col("node_id").asc()], 5)
     joined = lambda rows, name, sep: rows.groupBy("community_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "label"))), lambda x: x["label"]), sep).alias(name))
-    return sizes.join(joined(by_degree, "label", ", "), "community_id").join(joined(by_pos, "members", "; "), "community_id")
+    score = cohesion(graph, communities).select("community_id", F.col("score").alias("cohesion"))
+    out = sizes.join(joined(by_degree, "label", ", "), "community_id").join(joined(by_pos, "members", "; "), "community_id").join(score, "community_id", "left")
+    return out.select("community_id", "size", F.coalesce("cohesion", F.lit(0.0)).alias("cohesion"), "label", "members")
 
 
 def top_per_group(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salt: int = 16) -> DataFrame:

@@ -12,7 +12,7 @@ from kgweave.operators.community import detect_communities
 from kgweave.operators.graph import Graph, build_graph, merge_extractions
 from kgweave.operators.infer import infer_edges
 from kgweave.runtime import Scratch
-from kgweave.sources import detect, extract
+from kgweave.sources import code, detect, extract
 
 
 @dataclass
@@ -26,6 +26,7 @@ def extract_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     routed = detect.route(files.select("path", "content").where(~detect.in_ignored_dir()))
     docs, hs = routed.where("extractor = 'document'"), routed.where("extractor = 'lines'")
     py = routed.where(F.col("path").endswith(".py"))
+    lined = routed.where(F.regexp_extract("path", r"\.([a-z]+)$", 1).isin(*code.LANGUAGES))
     rest = routed.where("extractor <> 'document'")
     p = F.col("path")
     defs = extract.python_definitions(py)
@@ -33,7 +34,7 @@ def extract_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     source = F.when(F.col("parent").isNotNull(), X.symbol_id(p, F.col("parent"))).otherwise(X.stub_id(p))
     py_edges = defs.select(*extract._edge(source, X.symbol_id(p, F.col("name")), "contains", "EXTRACTED", 1.0, p, F.col("line"))).dropDuplicates(["source", "target"])
     parts = [
-        (extract.stub_nodes(rest), py_edges), (py_nodes, extract.haskell_edges(hs)), (extract.haskell_nodes(hs), extract.document_edges(docs)), (extract.document_nodes(docs), py_edges.where(F.lit(False))),
+        (extract.stub_nodes(rest), py_edges), (py_nodes, extract.haskell_edges(hs)), (extract.haskell_nodes(hs), extract.document_edges(docs)), (extract.document_nodes(docs), code.code_edges(lined)), (code.code_nodes(lined), py_edges.where(F.lit(False))),
     ]
     return merge_extractions(*parts)
 

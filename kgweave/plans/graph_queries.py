@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from kgweave.operators import analysis, community, components, context, graph, infer, kernels, traverse
 from kgweave.operators.graph import EDGE_ORDER, NODE_ORDER, Graph
+from kgweave.plans import algorithm_sql
 from kgweave.runtime import Scratch, table
 from kgweave.schema import bad_values
 
 QUESTION = "how does the graph parser handle import labels"
-START, END = "index barrel", "prelude"
+START, END, EXPLAINED = "index barrel", "prelude", "graph parser"
+ASKED = (QUESTION, "barrel", "overview of the system", "which parser reads cursor headers", "budget community option table query")
 
 
 def built(spark, d) -> Graph:
@@ -95,7 +97,7 @@ def centroids(spark, d):
 
 
 def super_nodes(spark, d):
-    return graph.super_nodes(built(spark, d), communities(spark, d))
+    return graph.super_nodes(built(spark, d), communities(spark, d)).withColumn("cohesion", F.round("cohesion", 9))
 
 
 def super_edges(spark, d):
@@ -195,13 +197,12 @@ def path_query(spark, d):
 
 
 def explain_node(spark, d):
-    return context.explain(stored(spark, d), communities(spark, d), "graph parser")
+    return context.explain(stored(spark, d), communities(spark, d), EXPLAINED)
 
 
 def complexity(spark, d):
     nodes = stored(spark, d).nodes
-    asked = [QUESTION, "barrel", "overview of the system", "which parser reads cursor headers", "budget community option table query"]
-    return spark.createDataFrame([(q, context.classify_complexity(nodes, q)) for q in asked], "question string, complexity string")
+    return spark.createDataFrame([(q, context.classify_complexity(nodes, q)) for q in ASKED], "question string, complexity string")
 
 
 def _context(question, kind=None):
@@ -246,6 +247,32 @@ def detected_communities_distributed(spark, d):
     return community.detect_communities(stored(spark, d), mode="distributed")
 
 
+def community_invariants(spark, d):
+    """Counts that must hold of any division: every node once, none below the least size, numbers from 1 without gaps."""
+    g = stored(spark, d)
+    found = Scratch(spark).save(community.detect_communities(g))
+    sizes = found.groupBy("community_id").agg(F.count(F.lit(1)).alias("n"))
+    s = sizes.agg(F.count_if(F.col("n") < community.MIN_SIZE).alias("too_small"), F.min("community_id").alias("first"), (F.max("community_id") - F.count(F.lit(1))).alias("gaps"))
+    n = found.agg(F.count(F.lit(1)).alias("members"), (F.count(F.lit(1)) - F.count_distinct("node_id")).alias("repeated"))
+    lost = g.nodes.join(found.select(F.col("node_id").alias("id")), "id", "left_anti").agg(F.count(F.lit(1)).alias("lost"))
+    # one row each
+    rows = [df.select(F.lit(k).alias("part"), F.to_json(F.struct(*df.columns)).alias("facts")) for k, df in (("sizes", s), ("members", n), ("nodes", lost))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def cohesion_to_community(spark, d):
+    return graph.cohesion_to_community(built(spark, d), communities(spark, d)).withColumn("share", F.round("share", 9))
+
+
+def verbose_nodes(spark, d):
+    g = stored(spark, d)
+    return graph.verbose_nodes(g, communities(spark, d), kernels.articulation_points(g))
+
+
+def simple_labels(spark, d):
+    return analysis.simple_labels(stored(spark, d), communities(spark, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -253,7 +280,7 @@ QUERIES = {
         centroids, super_nodes, super_edges, hyperedge_members, transitive_dependencies, codependents, shared_context_dense, shared_context_maximum, community_bridges, code_document_links,
         inferred_edges, cross_file_surprises, top_surprises, cross_community_surprises, suggested_questions, label_terms, community_labels, label_prompts, query_seeds, relevance, reachable,
         reach_levels, query_graph, path_query, explain_node, complexity, connected_components, articulation_points, biconnected_components, dominators, edge_betweenness, bridge_nodes,
-        detected_communities, detected_communities_distributed,
+        detected_communities, detected_communities_distributed, community_invariants, cohesion_to_community, verbose_nodes, simple_labels,
     )
 }
 QUERIES |= {
@@ -307,6 +334,10 @@ _LABELS = f"""nm AS (SELECT DISTINCT m.community_id, m.node_id, gn.label, coales
 _SEEDS = f"seeds AS (SELECT id, label, {_MATCH} AS m FROM gn WHERE {_MATCH} > 0 ORDER BY m DESC, id LIMIT 5)"
 
 
+_PAIRS = """pr AS (SELECT DISTINCT least(node, neighbour) AS a, greatest(node, neighbour) AS b FROM adj WHERE node <> neighbour),
+        pk AS (SELECT x.c, count(*) AS k FROM pr JOIN cm x ON x.node_id = a JOIN cm y ON y.node_id = b WHERE x.c = y.c GROUP BY 1), cs AS (SELECT c, any_value(k) AS k, any_value(size) AS size FROM (SELECT c, count(*) AS size FROM cm GROUP BY 1) LEFT JOIN pk USING (c) GROUP BY c)"""
+
+
 def _shared(k: int) -> str:
     return f"""WITH {G}, small AS (SELECT node FROM adj GROUP BY node HAVING count(*) <= 64), a AS (SELECT * FROM adj WHERE node IN (SELECT node FROM small)),
       x AS (SELECT a.neighbour AS source, b.neighbour AS target, count(*) AS k FROM a JOIN a b ON a.node = b.node AND a.neighbour < b.neighbour GROUP BY 1, 2 HAVING count(*) >= {k})
@@ -354,8 +385,9 @@ ORACLE = {
         SELECT coalesce(t.c, i.c) AS community_id, coalesce(t, 0)::BIGINT AS sigma_tot, coalesce(i, 0)::BIGINT AS sigma_in FROM t FULL JOIN i ON t.c = i.c""",
     "centroids": f"WITH {G}, {_CENTRE} SELECT * FROM ct",
     "super_nodes": f"""WITH {G}, n AS (SELECT m.community_id, m.node_id, m.pos, coalesce(gn.label, m.node_id) AS label, coalesce(degree, 0) AS degree FROM communities m LEFT JOIN gn ON gn.id = m.node_id LEFT JOIN dg ON dg.id = m.node_id),
-        r AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY degree DESC, node_id) AS a, row_number() OVER (PARTITION BY community_id ORDER BY pos, node_id) AS b FROM n)
-        SELECT community_id, count(*) AS size, string_agg(label, ', ' ORDER BY a) FILTER (a <= 3) AS label, string_agg(label, '; ' ORDER BY b) FILTER (b <= 5) AS members FROM r GROUP BY 1""",
+        r AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY degree DESC, node_id) AS a, row_number() OVER (PARTITION BY community_id ORDER BY pos, node_id) AS b FROM n), {_PAIRS}
+        SELECT community_id, count(*) AS size, any_value(round(coalesce(cs.k, 0) / greatest(1, cs.size * (cs.size - 1) // 2), 9))::DOUBLE AS cohesion,
+          string_agg(label, ', ' ORDER BY a) FILTER (a <= 3) AS label, string_agg(label, '; ' ORDER BY b) FILTER (b <= 5) AS members FROM r LEFT JOIN cs ON cs.c = r.community_id GROUP BY 1""",
     "super_edges": f"""WITH {G}, x AS (SELECT least(a.c, b.c) AS c1, greatest(a.c, b.c) AS c2, source FROM ge JOIN cm a ON a.node_id = source JOIN cm b ON b.node_id = target WHERE a.c <> b.c),
         u AS (SELECT c1, c2, source, count(*) AS k, row_number() OVER (PARTITION BY c1, c2 ORDER BY source) AS rn FROM x GROUP BY 1, 2, 3)
         SELECT c1 AS source, c2 AS target, sum(k)::BIGINT AS n_edges, string_agg(source, ',' ORDER BY source) FILTER (rn <= 5) AS bridges FROM u GROUP BY 1, 2""",
@@ -393,3 +425,17 @@ ORACLE = {
     "reach_levels": f"WITH RECURSIVE {G}, {_SEEDS}, r AS (SELECT id, 0 AS level FROM seeds UNION SELECT b.target, r.level + 1 FROM r JOIN both_ways b ON b.source = r.id WHERE r.level < 4) SELECT id, min(level) AS level FROM r GROUP BY id",
     "query_graph": f"WITH RECURSIVE {G}, {_SEEDS}, r AS (SELECT id FROM seeds UNION SELECT ge.target FROM r JOIN ge ON ge.source = r.id) SELECT source, target, relation, confidence FROM ge WHERE source IN (SELECT id FROM r) AND target IN (SELECT id FROM r)",
 }
+ORACLE |= algorithm_sql.oracle(G, FLAGS, QUESTION, START, END, EXPLAINED, ASKED)
+ORACLE |= {
+    "label_prompts": f"""WITH {G}, {_PAIRS}, n AS (SELECT m.community_id, m.node_id, gn.label, coalesce(degree, 0) AS degree FROM communities m JOIN gn ON gn.id = m.node_id LEFT JOIN dg ON dg.id = m.node_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY degree DESC, node_id) AS rn FROM n), t AS (SELECT community_id, string_agg('- ' || label, chr(10) ORDER BY rn) AS list FROM r WHERE rn <= 10 GROUP BY 1)
+        SELECT community_id, 'Community ' || community_id || ' (' || size || ' nodes, cohesion ' || printf('%.3f', coalesce(k, 0) / greatest(1, size * (size - 1) // 2)) || '):' || chr(10) || list AS prompt FROM cs JOIN t ON t.community_id = cs.c""",
+    "community_invariants": f"""WITH {G} SELECT 'sizes' AS part, '{{"too_small":0,"first":1,"gaps":0}}' AS facts UNION ALL SELECT 'members', '{{"members":' || (SELECT count(*) FROM gn) || ',"repeated":0}}' UNION ALL SELECT 'nodes', '{{"lost":0}}'""",
+    "cohesion_to_community": f"""WITH {G}, n AS (SELECT node, count(*) AS n FROM adj GROUP BY 1) SELECT node AS node_id, cm.c AS community_id, round(count(*) / any_value(n), 9)::DOUBLE AS share FROM adj JOIN cm ON cm.node_id = neighbour JOIN n USING (node) GROUP BY 1, 2""",
+    "verbose_nodes": f"""WITH RECURSIVE {G}, {algorithm_sql.SIMPLE}, {algorithm_sql.COMPONENTS}, {algorithm_sql.FOREST}, {algorithm_sql.BLOCKS}
+        SELECT gn.id, label, kind, signature, coalesce(source_location, '') || coalesce('-L' || line_end, '') AS lines, cm.c AS community_id, degree, gn.id IN (SELECT id FROM ap) AS is_bridge FROM gn JOIN dg USING (id) LEFT JOIN cm ON cm.node_id = gn.id""",
+    "simple_labels": f"""WITH {G}, w AS (SELECT community_id, unnest(string_split_regex(lower(label), '\\s+')) AS word FROM (SELECT DISTINCT m.community_id, m.node_id, gn.label FROM communities m JOIN gn ON gn.id = m.node_id)),
+        k AS (SELECT community_id, word, count(*) AS n FROM w WHERE length(word) > 1 AND word NOT IN ({_STOP}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY n DESC, word) AS rn FROM k),
+        l AS (SELECT community_id, string_agg(CASE WHEN regexp_matches(word, '^[a-z]') THEN upper(word[1]) || word[2:] ELSE word END, ' ' ORDER BY rn) AS label FROM r WHERE rn <= 3 GROUP BY 1)
+        SELECT c.community_id, coalesce(l.label, 'Unnamed Community') AS label FROM (SELECT DISTINCT community_id FROM communities) c LEFT JOIN l USING (community_id)""",
+}

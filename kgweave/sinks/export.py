@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgweave.functions import text as X
-from kgweave.operators.analysis import suggested_questions, surprising_connections
+from kgweave.operators.analysis import community_labels, suggested_questions, surprising_connections
 from kgweave.operators.graph import Graph, adjacency, assigned, cohesion, degrees, god_nodes, graph_stats
 from kgweave.runtime import global_rank
 
@@ -30,6 +30,17 @@ def cypher_edges(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target", F.concat(F.lit("MATCH (a:Node {id: "), q("source"), F.lit("}) MATCH (b:Node {id: "), q("target"), F.lit("}) MERGE (a)-[r:"), kind, F.lit("]->(b) SET r.confidence = "), q("confidence"), F.lit(";")).alias("statement"))
 
 
+def cypher_communities(graph: Graph, communities: DataFrame) -> DataFrame:
+    """kind (community, member), key, statement: a Community node each, with label, size and cohesion, and BELONGS_TO for its members."""
+    q = lambda c: F.concat(F.lit("'"), X.cypher_escape(c), F.lit("'"))
+    number = F.col("community_id").cast("string")
+    facts = cohesion(graph, communities).join(community_labels(graph, communities), "community_id")
+    head = F.concat(F.lit("MERGE (c:Community {id: "), number, F.lit("}) SET c.label = "), q("label"), F.lit(", c.size = "), F.col("size").cast("string"), F.lit(", c.cohesion = "), F.format_string("%.3f", "score"), F.lit(";"))
+    member = F.concat(F.lit("MATCH (n:Node {id: "), q("node_id"), F.lit("}) MATCH (c:Community {id: "), number, F.lit("}) MERGE (n)-[:BELONGS_TO]->(c);"))
+    a = facts.select(F.lit("community").alias("kind"), number.alias("key"), head.alias("statement"))
+    return a.unionByName(communities.select("community_id", "node_id").distinct().select(F.lit("member").alias("kind"), F.concat(number, F.lit(":"), "node_id").alias("key"), member.alias("statement")))
+
+
 def push_batches(statements: DataFrame, size: int = PUSH_BATCH) -> DataFrame:
     """batch, statement: numbered batches of ``size`` for a sink that takes many at once."""
     return global_rank(statements.select("statement"), ["statement"]).select((F.floor(F.col("rank") / size)).cast("bigint").alias("batch"), "statement")
@@ -134,6 +145,12 @@ def report(graph: Graph, communities: DataFrame, top: int = 10) -> str:
     return "\n".join(out) + "\n"
 
 
+def token_sums(conversations: DataFrame) -> DataFrame:
+    """exchanges, tokens of the distinct conversations; non-positive counts are unknown and count as 0."""
+    one = conversations.where("id is not null").groupBy("id").agg(F.max(F.greatest(F.coalesce("tokens_used", F.lit(0)), F.lit(0))).alias("t"))
+    return one.agg(F.count(F.lit(1)).alias("exchanges"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"))
+
+
 def conversation_note(conversations: DataFrame) -> DataFrame:
     """file, content: a memory note a conversation, quotes escaped."""
     q = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit('\\"'))

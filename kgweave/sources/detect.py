@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import shutil
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,9 +67,10 @@ def read_text(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.regexp_replace(F.input_file_name(), "^file:(//)?", "").alias("path"), F.col("value").alias("content"))
 
 
-def in_ignored_dir(path: str = "path") -> Column:
+def in_ignored_dir(path: str = "path", more: tuple[str, ...] = ()) -> Column:
+    """Whether a folder of the path is one that is never scanned; ``more`` adds the caller's own, such as the output folder."""
     parts = F.split(F.col(path), "/")
-    return F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.isin(*IGNORED_DIRS))
+    return F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.isin(*IGNORED_DIRS, *more))
 
 
 def categorise(files: DataFrame, categories: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -144,6 +146,21 @@ def server_groups(files: DataFrame) -> DataFrame:
     return route(files.select("path").distinct()).where("server is not null").groupBy("server").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def server_files(files: DataFrame) -> DataFrame:
+    """server, path: the distinct code files that each server is to read, in long form, so that no group is one row."""
+    return route(files.select("path").distinct()).where("server is not null").select("server", "path")
+
+
+def installed_servers() -> dict[str, bool]:
+    """server -> whether its command is found on this machine."""
+    return {s: shutil.which(s) is not None for s in sorted(set(SERVERS.values()))}
+
+
+def language_for(path: str | Column = "path") -> Column:
+    """The language id of a path's suffix (its server's name for it), null without one."""
+    return F.when(_lookup(SERVERS)[extension(path)].isNotNull(), extension(path))
+
+
 def content_key(path: str = "path", content: str = "content") -> Column:
     return F.sha2(F.concat(F.col(path), F.lit("\0"), F.coalesce(content, F.lit(""))), 256)
 

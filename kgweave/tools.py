@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Callable, Iterable
+from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kgweave.functions.text import token_estimate
 from kgweave.operators import context as C
-from kgweave.operators.graph import Graph, adjacency, assigned, degrees, god_nodes, graph_stats
+from kgweave.operators.graph import Graph, adjacency, assigned, degrees, god_nodes, graph_stats, verbose_nodes
 from kgweave.operators.kernels import articulation_points
 from kgweave.operators.traverse import query_graph
 
@@ -24,8 +25,9 @@ class ToolError(Exception):
 class Workspace:
     """A loaded graph with its communities and conversations; degrees and bridges are computed once."""
 
-    def __init__(self, graph: Graph, communities: DataFrame, conversations: DataFrame | None = None):
+    def __init__(self, graph: Graph, communities: DataFrame, conversations: DataFrame | None = None, root: str | None = None):
         self.graph, self.communities, self.conversations = graph, communities, conversations
+        self.root = root  # where conversations are kept
         self._bridges: DataFrame | None = None
 
     @property
@@ -61,6 +63,13 @@ def get_node(w: Workspace, args: dict) -> dict:
     return found[0]
 
 
+@tool
+def describe_nodes(w: Workspace, args: dict) -> list[dict]:
+    ids = args.get("ids") or [_need(args, "id")]
+    rows = verbose_nodes(w.graph, w.communities, w.bridges).where(F.col("id").isin(list(ids)))
+    return _rows(rows.orderBy("id"), len(ids))
+
+
 @tool
 def get_neighbors(w: Workspace, args: dict) -> list[dict]:
     near = adjacency(w.graph).where(F.col("node") == _need(args, "id")).select(F.col("neighbour").alias("id"))
@@ -128,16 +137,21 @@ def select_context(w: Workspace, args: dict) -> dict:
 def conversation_history(w: Workspace, args: dict) -> list[dict]:
     if w.conversations is None:
         return []
-    return _rows(C.search_conversations(w.conversations, _need(args, "question"), int(args.get("limit", 10))), int(args.get("limit", 10)))
+    found = C.search_conversations(w.conversations, _need(args, "question"), int(args.get("limit", 10)))
+    return _rows(C.related_nodes(w.conversations, found).orderBy(F.col("score").desc(), "id"), int(args.get("limit", 10)))
 
 
 @tool
 def add_conversation(w: Workspace, args: dict) -> dict:
-    stamp = _need(args, "timestamp")
+    stamp = args.get("timestamp") or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     row = (("conv_" + "".join(ch for ch in stamp if ch not in "-:")), _need(args, "question"), args.get("summary", ""), stamp, list(args.get("relevant_nodes", [])), int(args.get("tokens_used", 0)))
     from kgweave.schema import CONVERSATION
 
     new = w.graph.nodes.sparkSession.createDataFrame([row], CONVERSATION)
+    if w.root is not None:
+        from kgweave.sinks.stores import save_conversations
+
+        save_conversations(new, w.root)
     w.conversations = new if w.conversations is None else w.conversations.unionByName(new)
     return {"id": row[0]}
 
