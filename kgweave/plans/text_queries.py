@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from kgweave.functions import text as X
 from kgweave.operators import context
-from kgweave.plans.graph_queries import G, QUESTION, built, communities, stored
+from kgweave.plans.graph_queries import G, _PAIRS, QUESTION, built, communities, stored
+from kgweave.plans.graph_queries import ORACLE as GRAPH_ORACLE
 from kgweave.runtime import table
-from kgweave.sinks import export
-from kgweave.sources import detect, extract
+from kgweave.sinks import export, page, stores, vault
+from kgweave.sources import code, detect, extract, ingest
 from kgweave.streaming import watcher
 
 
@@ -36,7 +37,7 @@ def url_functions(spark, d):
 
 def token_savings(spark, d):
     t = table(spark, d, "documents").where("text is not null")
-    return t.select("doc_id", X.token_estimate("text").alias("tokens"), F.size(X.words("text")).alias("n_words"), F.round(X.token_savings(F.lit(1), F.size(X.words("text"))), 6).alias("savings"))
+    return t.select("doc_id", X.token_estimate("text").alias("tokens"), F.size(X.words("text")).alias("n_words"), F.round(X.token_savings(X.token_estimate("text") / 500, F.size(X.words("text"))), 6).alias("savings"))
 
 
 def paper_scores(spark, d):
@@ -168,12 +169,70 @@ def watch_batches(spark, d):
     return watcher.change_batches(e, "1 hour").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_paths", "paths")
 
 
+def code_declarations(spark, d):
+    return code.code_declarations(table(spark, d, "files"))
+
+
+def code_graph(spark, d):
+    return code.code_edges(table(spark, d, "files")).select("source", "target", "relation", "source_location")
+
+
+def url_notes(spark, d):
+    return ingest.url_notes(table(spark, d, "nodes").select(F.col("source_url").alias("url"), "captured_at", "author", "contributor"))
+
+
+def community_notes(spark, d):
+    return vault.community_notes(stored(spark, d), communities(spark, d)).select("community_id", "file", "part", "pos", "line")
+
+
+def canvas(spark, d):
+    return vault.canvas(stored(spark, d), communities(spark, d))
+
+
+def community_focus(spark, d):
+    n, e = page.community_focus(stored(spark, d), communities(spark, d), FOCUS)
+    return n.select(F.lit("node").alias("part"), F.col("id").alias("key"), F.col("label").alias("text")).unionByName(e.select(F.lit("edge").alias("part"), F.concat("source", F.lit("->"), "target").alias("key"), F.col("relation").alias("text")))
+
+
+def cypher_communities(spark, d):
+    return export.cypher_communities(stored(spark, d), communities(spark, d))
+
+
+def token_sums(spark, d):
+    return export.token_sums(table(spark, d, "conversations"))
+
+
+def related_conversations(spark, d):
+    c = table(spark, d, "conversations")
+    return context.related_nodes(c, context.search_conversations(c, QUESTION))
+
+
+def server_files(spark, d):
+    return detect.server_files(table(spark, d, "files"))
+
+
+def file_manifest(spark, d):
+    return stores.manifest(table(spark, d, "files"))
+
+
+def cached_rows(spark, d):
+    return stores.cache_rows(table(spark, d, "files"), table(spark, d, "nodes").select("source_file", "id", "label").distinct()).select("path", "key", "n_rows")
+
+
+def snapshot_changes(spark, d):
+    f = table(spark, d, "files").select("path", "mtime", "n_bytes", "extraction_seq")
+    return watcher.changes(f.where("extraction_seq <= 4"), f.where("extraction_seq > 4"))
+
+
+FOCUS = 1
+
 QUERIES = {
     f.__name__: f
     for f in (
         label_functions, path_functions, path_hashes, url_functions, token_savings, paper_scores, document_headers, document_tags, document_links, document_graph, file_categories, file_routes, server_groups,
         haskell_declarations, python_definitions, stub_nodes, cache_split, manifest_changes, conversation_nodes, conversation_edges, conversation_search, chat_community, cypher_nodes, cypher_edges, push_batches,
         graphml, svg_positions, vault_notes, page_nodes, page_edges, note_search, one_hop, node_details, conversation_notes, watch_batches,
+        code_declarations, code_graph, url_notes, community_notes, canvas, community_focus, cypher_communities, token_sums, related_conversations, server_files, file_manifest, cached_rows, snapshot_changes,
     )
 }
 
@@ -206,7 +265,7 @@ ORACLE = {
     "url_functions": """SELECT source_url, CASE WHEN contains(source_url, 'twitter.com') OR contains(source_url, 'x.com') THEN 'twitter' WHEN contains(source_url, 'arxiv.org') THEN 'arxiv' WHEN suffix(source_url, '.pdf') THEN 'pdf'
         WHEN regexp_matches(source_url, '\\.(png|jpg|webp)$') THEN 'image' WHEN contains(source_url, 'youtube.com') OR contains(source_url, 'youtu.be') THEN 'youtube' ELSE 'webpage' END AS url_type,
         translate(right(source_url, 40), '/\\:*?.', '______') || '.md' AS file_name, regexp_matches(source_url, '^https?://') AS valid FROM (SELECT DISTINCT source_url FROM nodes WHERE source_url IS NOT NULL)""",
-    "token_savings": f"SELECT doc_id, ceil({_WORDS('text')} * 1.33)::BIGINT AS tokens, {_WORDS('text')} AS n_words, CASE WHEN {_WORDS('text')} > 0 THEN round(greatest(0.0, 100.0 * (1 - 1 / ({_WORDS('text')} * 4.0 / 1000.0))), 6) ELSE 0 END::DOUBLE AS savings FROM documents WHERE text IS NOT NULL",
+    "token_savings": f"SELECT doc_id, ceil({_WORDS('text')} * 1.33)::BIGINT AS tokens, {_WORDS('text')} AS n_words, CASE WHEN {_WORDS('text')} > 0 THEN round(greatest(0.0, 100.0 * (1 - ceil({_WORDS('text')} * 1.33) / 500 / ({_WORDS('text')} * 4.0 / 1000.0))), 6) ELSE 0 END::DOUBLE AS savings FROM documents WHERE text IS NOT NULL",
     "paper_scores": f"""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
         SELECT doc_id, (contains(t, '10.') AND contains(substr(t, strpos(t, '1') + 3), '/'))::INT + {" + ".join("(" + " OR ".join(f"contains(t, '{x}')" for x in g) + ")::INT" for g in X.PAPER_SIGNS)} AS score FROM t""",
     "document_headers": f"WITH {_HEADS.format('doc_id', 'text', 'documents')} SELECT k AS doc_id, level, title, line::INTEGER AS line FROM hd WHERE title <> ''",
@@ -253,3 +312,50 @@ ORACLE = {
     "conversation_notes": """SELECT DISTINCT id, 'memory/' || id || '.md' AS file, '---' || chr(10) || 'id: "' || replace(id, '"', '\\"') || '"' || chr(10) || 'question: "' || replace(coalesce(question, ''), '"', '\\"') || '"' || chr(10) || 'timestamp: "' || replace(coalesce(timestamp, ''), '"', '\\"') || '"' || chr(10) ||
         'tokens_used: ' || coalesce(tokens_used::VARCHAR, '0') || chr(10) || '---' || chr(10) || coalesce(summary, '') || chr(10) AS content FROM conversations WHERE id IS NOT NULL""",
 }
+
+_sql = lambda x: "'" + x.replace("'", "''") + "'"
+_lang = "CASE " + " ".join(f"WHEN suffix(path, '.{e}') THEN '{lang}'" for e, lang in code.LANGUAGES.items()) + " END"
+_forms = lambda of: "CASE lang " + " ".join(f"WHEN '{lang}' THEN CASE " + " ".join(f"WHEN regexp_matches(t, {_sql(f)}) THEN {of(k, f)}" for k, f in fs) + " END" for lang, fs in code.FORMS.items()) + " END"
+_DECLARED = f"""f AS (SELECT DISTINCT path, content, {_lang} AS lang FROM files WHERE content IS NOT NULL AND {_lang} IS NOT NULL),
+  l AS (SELECT path, lang, unnest(string_split(content, chr(10))) AS t, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line FROM f),
+  dc AS (SELECT * FROM (SELECT path, line::INTEGER AS line, {_forms(lambda k, f: _sql(k))} AS kind, {_forms(lambda k, f: f"regexp_extract(t, {_sql(f)}, 1)")} AS name FROM l) WHERE name <> '')"""
+_stub = f"{_HASH.format('path')} || '_' || string_split({_B('path')}, '.')[1]"
+_note = lambda c: "coalesce('\"' || " + c + " || '\"', 'null')"
+_stmt = lambda c: f"replace(replace({c}, '\\', '\\\\'), '''', '''''')"
+_share = "printf('%.3f', coalesce(k, 0) / greatest(1, size * (size - 1) // 2))"
+
+ORACLE |= {
+    "document_tags": "SELECT DISTINCT doc_id, unnest(regexp_extract_all('x' || text, '[^\\n]#([\\p{L}\\p{N}_/-]{2,})', 1)) AS tag FROM documents",
+    "graphml": f"""WITH {G} SELECT 0 AS ord, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' || chr(10) || '<key id="label" for="node" attr.name="label" attr.type="string"/>' || chr(10) || '<key id="relation" for="edge" attr.name="relation" attr.type="string"/>' || chr(10) || '<graph edgedefault="undirected">' AS line
+        UNION ALL SELECT 3, '</graph></graphml>' UNION ALL SELECT 1, '<node id="' || {_HTML('id')} || '"><data key="label">' || {_HTML("coalesce(label, '')")} || '</data></node>' FROM gn
+        UNION ALL SELECT 2, '<edge source="' || {_HTML('source')} || '" target="' || {_HTML('target')} || '"><data key="relation">' || {_HTML('relation')} || '</data></edge>' FROM ge""",
+    "vault_notes": f"""WITH {G}, n AS (SELECT gn.*, regexp_replace(coalesce(label, id), '[/\\\\:*?"<>|]', '_', 'g') AS name, cm.c FROM gn LEFT JOIN cm ON cm.node_id = gn.id)
+        SELECT id, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || ' ' || regexp_replace(id, '[/\\\\:*?"<>|]', '_', 'g') ELSE name END || '.md' AS file,
+          '---' || chr(10) || 'id: ' || id || chr(10) || 'file_type: ' || coalesce(file_type, '') || chr(10) || 'source: ' || coalesce(source_file, '') || chr(10) || 'community: ' || coalesce(c::VARCHAR, '') || chr(10) || '---' || chr(10) || '# ' || coalesce(label, id) || chr(10) AS content FROM n""",
+    "code_declarations": f"WITH {_DECLARED} SELECT path, line, kind, name FROM dc",
+    "code_graph": f"""WITH {_DECLARED}, e AS (SELECT {_stub} AS source, {_stub} || CASE WHEN kind = 'Import' THEN '_import_' || name ELSE '_' || regexp_replace(name, '[\\n\\r"''`]', '', 'g') END AS target, kind = 'Import' AS imported, path, line FROM dc)
+        SELECT source, target, CASE WHEN imported THEN 'imports' ELSE 'contains' END AS relation, 'L' || min(line) AS source_location FROM e GROUP BY source, target, imported, path""",
+    "url_notes": f"""WITH u AS (SELECT source_url AS url, captured_at, author, contributor, row_number() OVER (PARTITION BY source_url ORDER BY captured_at NULLS FIRST, author NULLS FIRST, contributor NULLS FIRST) AS rn FROM nodes WHERE regexp_matches(source_url, '^https?://')),
+        t AS (SELECT *, CASE WHEN contains(url, 'twitter.com') OR contains(url, 'x.com') THEN 'twitter' WHEN contains(url, 'arxiv.org') THEN 'arxiv' WHEN suffix(url, '.pdf') THEN 'pdf' WHEN regexp_matches(url, '\\.(png|jpg|webp)$') THEN 'image' WHEN contains(url, 'youtube.com') OR contains(url, 'youtu.be') THEN 'youtube' ELSE 'webpage' END AS type FROM u WHERE rn = 1)
+        SELECT url, type, translate(right(url, 40), '/\\:*?.', '______') || CASE type WHEN 'pdf' THEN '.pdf' WHEN 'image' THEN '.png' ELSE '.md' END AS file,
+          '---' || chr(10) || 'source_url: "' || url || '"' || chr(10) || 'captured_at: "' || coalesce(captured_at, '') || '"' || chr(10) || 'author: ' || {_note('author')} || chr(10) || 'contributor: ' || {_note('contributor')} || chr(10) || '---' || chr(10) AS content FROM t""",
+    "community_notes": f"""WITH {G}, {_PAIRS}, s AS (SELECT community_id, count(*) AS n FROM communities GROUP BY 1)
+        SELECT community_id, 'communities/_COMMUNITY_' || community_id || '.md' AS file, 0 AS part, 0 AS pos, '# Community ' || community_id || chr(10) || chr(10) || '- Members: ' || n || chr(10) || '- Cohesion: ' || {_share} || chr(10) || chr(10) || '## Members' || chr(10) AS line
+          FROM s LEFT JOIN cs ON cs.c = s.community_id UNION ALL SELECT community_id, 'communities/_COMMUNITY_' || community_id || '.md', 1, pos, '- [[' || coalesce(label, 'unknown') || ']]' FROM communities LEFT JOIN gn ON gn.id = node_id""",
+    "canvas": f"""WITH {G} SELECT 'node' AS part, (community_id::BIGINT * 1000 + pos) || ':' || node_id AS key, '  - id: ' || (community_id::BIGINT * 1000 + pos) || chr(10) || '    node: ' || node_id || chr(10) || '    community: ' || community_id AS text FROM communities
+        UNION ALL SELECT 'edge', source || '->' || target, '  - from: ' || source || chr(10) || '    to: ' || target FROM ge""",
+    "community_focus": f"""WITH {G}, k AS (SELECT gn.id, label FROM gn JOIN cm ON cm.node_id = gn.id WHERE cm.c = {FOCUS}) SELECT 'node' AS part, id AS key, left({_HTML("regexp_replace(label, '[\\x00-\\x1f\\x7f]', '', 'g')")}, 256) AS text FROM k
+        UNION ALL SELECT 'edge', source || '->' || target, relation FROM ge WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)""",
+    "cypher_communities": f"""WITH {G}, {_PAIRS}, lb AS (SELECT * FROM ({GRAPH_ORACLE['community_labels']}))
+        SELECT 'community' AS kind, cs.c::VARCHAR AS key, 'MERGE (c:Community {{id: ' || cs.c || '}}) SET c.label = ''' || {_stmt('lb.label')} || ''', c.size = ' || size || ', c.cohesion = ' || {_share} || ';' AS statement FROM cs JOIN lb ON lb.community_id = cs.c
+        UNION ALL SELECT DISTINCT 'member', community_id || ':' || node_id, 'MATCH (n:Node {{id: ''' || {_stmt('node_id')} || '''}}) MATCH (c:Community {{id: ' || community_id || '}}) MERGE (n)-[:BELONGS_TO]->(c);' FROM communities""",
+    "token_sums": "SELECT count(*) AS exchanges, coalesce(sum(t), 0)::BIGINT AS tokens FROM (SELECT id, max(greatest(coalesce(tokens_used, 0), 0)) AS t FROM conversations WHERE id IS NOT NULL GROUP BY id)",
+    "related_conversations": f"""WITH f AS (SELECT * FROM ({ORACLE['conversation_search']})), x AS (SELECT DISTINCT id, unnest(relevant_nodes) AS target FROM conversations WHERE id IS NOT NULL), r AS (SELECT id, string_agg(target, ', ' ORDER BY target) AS related FROM x WHERE target <> '' GROUP BY id)
+        SELECT f.id, question, score, coalesce(related, '') AS related FROM f LEFT JOIN r ON r.id = f.id""",
+    "server_files": f"SELECT server, path FROM (SELECT path, {_SERVER} AS server FROM (SELECT DISTINCT path FROM files)) WHERE server IS NOT NULL",
+    "file_manifest": "SELECT path, max(sha256(coalesce(content, ''))) AS hash FROM files WHERE path IS NOT NULL GROUP BY path",
+    "cached_rows": "WITH k AS (SELECT DISTINCT path, sha256(path || chr(0) || coalesce(content, '')) AS key FROM files), n AS (SELECT source_file, count(*)::INTEGER AS n FROM (SELECT DISTINCT source_file, id, label FROM nodes) GROUP BY 1) SELECT path, key, n AS n_rows FROM k JOIN n ON n.source_file = k.path",
+    "snapshot_changes": """WITH o AS (SELECT * FROM (SELECT path, mtime, n_bytes, row_number() OVER (PARTITION BY path ORDER BY mtime DESC NULLS LAST, n_bytes DESC NULLS LAST) AS rn FROM files WHERE extraction_seq <= 4) WHERE rn = 1),
+        n AS (SELECT * FROM (SELECT path, mtime, n_bytes, row_number() OVER (PARTITION BY path ORDER BY mtime DESC NULLS LAST, n_bytes DESC NULLS LAST) AS rn FROM files WHERE extraction_seq > 4) WHERE rn = 1)
+        SELECT * FROM (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN (o.mtime, o.n_bytes) IS DISTINCT FROM (n.mtime, n.n_bytes) THEN 'modified' END AS change FROM o FULL JOIN n ON o.path = n.path) WHERE change IS NOT NULL""",
+}
