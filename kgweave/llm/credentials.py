@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Shortest random token, and shortest password.
 MIN_TOKEN, MIN_PASSWORD = 16, 6
+#: Random characters after a known beginning from which their entropy is tested.
+MIN_TAIL = 8
 #: Share of the entropy that alphabet and length allow, and share of neighbours of different kinds, of a random token.
 MIN_ENTROPY, MIN_CHANGES = 0.80, 0.22
 #: Longest random string without a telling name that counts as a token; longer ones, and those of three parts or more, are
@@ -156,7 +158,7 @@ def find_secrets(text: str | None, is_path: bool = False) -> list[Secret]:
     free = lambda a, b: not any(a < y and x < b for x, y in closed)
     for m in _KNOWN.finditer(text):
         tail = re.sub(r"^[A-Za-z]+[_-](?:live_|test_|prod_)?", "", m[0])
-        if free(*m.span()) and not re.search(r"(?i)example|x{6}|0{8}", m[0]) and (len(tail) < 8 or entropy(tail) > 2.5):
+        if free(*m.span()) and not re.search(r"(?i)example|x{6}|0{8}", m[0]) and (len(tail) < MIN_TAIL or is_random(tail, MIN_TAIL)):
             found.append(Secret(*m.span(), "token"))
     for m in _URL.finditer(text) if "://" in text else ():
         if not _PLACEHOLDER.match(m[3]) and not re.search(r"[${}<>*]", re.sub(r"[*!^&%@#?$]\Z", "", m[3])):
