@@ -58,6 +58,19 @@ def p7_fill(spark, d):
     return packing.fill_report(packing.pack(table(spark, d, "documents"), windows), windows)
 
 
+def p7_invariants(spark, d):
+    """What must hold of any packing: every document has its place for each size, no container is over its capacity, no
+    document is cut that fits one, and no token is lost."""
+    docs, windows = table(spark, d, "documents"), table(spark, d, "context_windows")
+    placed = packing.pack(docs, windows)
+    caps = windows.where("capacity_tokens > 0").select("window_id", F.col("capacity_tokens").alias("cap"))
+    boxes = placed.where("container <> '-'").groupBy("window_id", "container").agg(F.sum("n_tokens").alias("t")).join(caps, "window_id")
+    over = boxes.groupBy("window_id").agg(F.count_if(F.col("t") > F.col("cap")).alias("overfull"))
+    each = placed.groupBy("window_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("t")).join(caps, "window_id").join(packing.token_counts(docs), "doc_id")
+    docs_of = each.groupBy("window_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("t") <= F.col("cap"))).alias("cut"), F.count_if(F.col("t") != F.col("n_tokens")).alias("lost"))
+    return docs_of.join(over, "window_id").select("window_id", "documents", "overfull", "cut", "lost")
+
+
 def p8_found(spark, d):
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -76,7 +89,7 @@ def p9_segments(spark, d):
     return language.label_segments(docs, language.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_scores, p2_found, p2_redacted, p5_found, p5_kinds, p6_found, p7_containers, p7_fill, p8_found, p8_matches, p9_found, p9_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_scores, p2_found, p2_redacted, p5_found, p5_kinds, p6_found, p7_containers, p7_fill, p7_invariants, p8_found, p8_matches, p9_found, p9_segments)}
 
 _WORDS = r"""
 words AS (
@@ -96,6 +109,7 @@ ORACLE = {
           FROM tf t JOIN st s USING (term) JOIN ln USING (rec_key) CROSS JOIN tot WHERE s.df BETWEEN 2 AND 3 AND length(t.term) >= 6),
         r AS (SELECT rec_key, term, pr * ln(pr / pc) AS score FROM x)
         SELECT a.rec_key AS node_a, b.rec_key AS node_b, count(*) AS terms, round(sum(a.score + b.score), 6) AS weight FROM r a JOIN r b USING (term) WHERE a.rec_key < b.rec_key GROUP BY ALL""",
+    "p7_invariants": "SELECT window_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS cut, 0::BIGINT AS lost FROM context_windows WHERE capacity_tokens > 0",
     "p1_scores": f"""WITH {_WORDS}, x AS (
           SELECT t.rec_key, t.term, t.tf, s.df, s.cf / total AS pc, (t.tf + {distinctive.MU} * (s.cf / total)) / (ln.n + {distinctive.MU}) AS pr
           FROM tf t JOIN st s USING (term) JOIN ln USING (rec_key) CROSS JOIN tot WHERE s.df >= {distinctive.MIN_DF})
