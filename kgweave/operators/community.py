@@ -32,41 +32,43 @@ BUCKET = 50
 def local_moving(adj: dict[str, list[str]], gamma: float = 1.0, max_rounds: int = MAX_ROUNDS) -> dict[str, int]:
     """node -> community: sequential passes in id order, totals frozen at the start of a pass, until refinement changes nothing."""
     ids = sorted(adj)
-    comm = {u: k for k, u in enumerate(ids)}
-    deg = {u: len(adj[u]) for u in ids}
-    m = sum(deg.values()) / 2
+    at = {u: k for k, u in enumerate(ids)}
+    near = [[at[v] for v in adj[u] if v in at] for u in ids]  # places of the neighbours that have a node
+    deg = [len(adj[u]) for u in ids]
+    comm = list(range(len(ids)))
+    m = sum(deg) / 2
     if not m:
-        return comm
+        return dict(zip(ids, comm))
     for _ in range(max_rounds):
         total: dict[int, float] = defaultdict(float)
-        for u in ids:
-            total[comm[u]] += deg[u]
-        for u in ids:
-            inside = Counter(comm[v] for v in adj[u] if v in comm)
-            best, best_score = None, 0.0
-            for v in adj[u]:
-                c = comm.get(v)
-                if c is None:
-                    continue
-                score = inside[c] / m - gamma * total[c] * deg[u] / (2 * m * m)
-                if best is None or score > best_score:
+        for c, k in zip(comm, deg):
+            total[c] += k
+        for u, vs in enumerate(near):
+            inside: dict[int, int] = {}  # in the order of the first neighbours
+            for v in vs:
+                c = comm[v]
+                inside[c] = inside.get(c, 0) + 1
+            best, best_score, k = None, 0.0, deg[u]
+            for c, n in inside.items():
+                score = n / m - gamma * total[c] * k / (2 * m * m)
+                if score > best_score:
                     best, best_score = c, score
-            if best is not None and best_score > 0:
+            if best is not None:
                 comm[u] = best
         members = defaultdict(list)
-        for u in ids:
-            members[comm[u]].append(u)
+        for u, c in enumerate(comm):
+            members[c].append(u)
         fresh, changed = max(members) + 1, False
         for c in sorted(members):
             own = members[c]
-            well = [u for u in own if sum(comm.get(v) == c for v in adj[u]) / max(1, deg[u]) > 0.5]
+            well = [u for u in own if sum(comm[v] == c for v in near[u]) > 0.5 * max(1, deg[u])]
             if well and len(well) < len(own) // 2:
                 for u in well:
                     comm[u] = fresh
                 fresh, changed = fresh + 1, True
         if not changed:
             break
-    return comm
+    return dict(zip(ids, comm))
 
 
 def merge_small(adj: dict[str, list[str]], comm: dict[str, int], min_size: int = MIN_SIZE, to: str = "neighbour") -> dict[str, int]:

@@ -202,7 +202,7 @@ def _sized(at: Column, bits: int) -> Column:
     return F.transform(at, lambda b: F.struct(F.lit(bits).alias("bits"), b.alias("at")))
 
 
-def _blocks(lo: Column, hi: Column) -> Column:
+def aligned_blocks(lo: Column, hi: Column) -> Column:
     """The aligned blocks (bits, at) that make up the numbers from lo to hi - 1, the largest that fit."""
     out = []
     for k, bits in enumerate(BLOCK_BITS):
@@ -229,7 +229,7 @@ def descendants(tree: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     inner = tree.where("n_descendants > 0")
     if ids is not None:
         inner = inner.join(ids.select("node_id").distinct(), "node_id", "left_semi")
-    spans = inner.select("root_id", F.col("node_id").alias("ancestor_id"), F.col("depth").alias("top"), F.explode(_blocks(F.col("entry") + 1, F.col("exit"))).alias("b"))
+    spans = inner.select("root_id", F.col("node_id").alias("ancestor_id"), F.col("depth").alias("top"), F.explode(aligned_blocks(F.col("entry") + 1, F.col("exit"))).alias("b"))
     places = F.array(*(F.struct(F.lit(k).alias("bits"), F.shiftright("entry", k).alias("at")) for k in BLOCK_BITS))
     points = tree.where("depth > 0").select("root_id", "node_id", "depth", F.explode(places).alias("b"))
     key = lambda df: df.select("root_id", *[c for c in df.columns if c not in ("root_id", "b")], F.col("b.bits").alias("bits"), F.col("b.at").alias("at"))
