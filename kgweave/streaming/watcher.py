@@ -34,7 +34,7 @@ def watch_directory(spark: SparkSession, path: str, on_change: Callable[[list[st
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
     """path, mtime, n_bytes of the files below ``path``; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(path)
     return files.select(F.regexp_replace("path", "^file:", "").alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("n_bytes"))
 
 
