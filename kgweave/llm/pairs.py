@@ -81,12 +81,15 @@ def tokens(text: str) -> list[str]:
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence: a row of the table is one number of len(a) bits, a zero for each step up."""
+    places: dict[str, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    full = row = (1 << len(a)) - 1
+    for y in b:
+        met = row & places.get(y, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
 
 
 def _shingles(words: list[str]) -> set:

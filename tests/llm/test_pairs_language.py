@@ -107,3 +107,24 @@ def test_lcs_equals_brute_force():
 def test_fit_reads_whole_texts(docs, model):
     late = L.fit(docs.withColumn("text", F.concat(F.lit("1 " * 11_000 + "\n\n"), "text")))
     assert bytes(late.slots) == bytes(model.slots)
+
+
+def test_lcs_equals_the_table():
+    import random
+
+    from kgweave.llm import pairs
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(40))] for _ in "ab")
+        assert pairs.lcs(a, b) == table(a, b)
+    long = [str(rng.randrange(50)) for _ in range(5000)]
+    assert pairs.lcs(long, long) == 5000
