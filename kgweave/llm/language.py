@@ -212,21 +212,21 @@ def _build(counts: dict[str, Counter], share: float) -> LanguageModel:
 
 
 def fit(documents: DataFrame, docs_per_language: int = FIT_DOCS) -> LanguageModel:
-    """Fit on about ``docs_per_language`` labelled documents a language (chosen by a hash of the id), twice that at most.
+    """Fit on about ``docs_per_language`` labelled documents a language (chosen by a hash of id and text), twice that at most.
 
     Labels may be wrong and texts mixed: an n-gram belongs to a language only if it is frequent there relative to the
     language where it is most frequent, and a second fit uses just the sentences that the first finds rightly labelled.
     """
-    rows = documents.select(F.xxhash64("doc_id").alias("h"), label_language(F.col("lang")).alias("code"), "text").where("code is not null and text is not null")
+    rows = documents.select(F.xxhash64("doc_id", "text").alias("h"), label_language(F.col("lang")).alias("code"), "text").where("code is not null and text is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("code").count().collect()}
     chosen = F.lit(False)
     for code, n in sorted(sizes.items()):
         share = min(1.0, docs_per_language / n)
         chosen = chosen | ((F.col("code") == code) & (F.pmod("h", F.lit(1_000_003)) <= int(1_000_003 * share)))
     texts: dict[str, list[list[list[str]]]] = {code: [] for code in sorted(sizes)}
-    # one scan for all languages; whole texts, those of the least hashes
-    sample = rows.where(chosen).orderBy("h", "text").limit(2 * docs_per_language * len(LANGS)).select("code", "text").collect()
-    for code, text in sample:
+    # one scan for all languages; whole texts. The hash's share bounds the sample, the limit only guards against equal rows
+    sample = rows.where(chosen).limit(2 * docs_per_language * len(LANGS)).select("h", "code", "text").collect()
+    for _, code, text in sorted(map(tuple, sample)):
         if len(texts[code]) < 2 * docs_per_language:
             texts[code].append([x[2] for x in sentences(text)])
     return fit_sentences(texts)
