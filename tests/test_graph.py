@@ -125,6 +125,20 @@ def test_dominators_and_betweenness(make):
     assert {(r[0], r[1]): round(r[2], 6) for r in kernels.edge_betweenness(chain).collect()} == {("a", "b"): round(2 / 6, 6), ("b", "c"): round(2 / 6, 6)}
 
 
+def test_betweenness_has_no_bound_of_links(spark, make, monkeypatch):
+    star = Graph(spark.createDataFrame([("a",)], "id string"), spark.range(2_000_001).select(F.lit("a").alias("source"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("target")))
+    assert kernels.edge_betweenness(star).agg(F.count(F.lit(1)), F.min("betweenness"), F.max("betweenness")).first()[:] == (2_000_001, 1.0, 1.0)
+    es = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "a"), ("e", "x"), ("y", "a")]
+    adj = {u: [w for v, w in es if v == u] for u, _ in es}
+    want = {}
+    for s in "abcde":
+        for k, c in kernels.source_dependencies(adj, s).items():
+            want[k] = want.get(k, 0) + c / 20
+    monkeypatch.setattr(kernels, "AT_ONCE", 2)
+    got = {(r[0], r[1]): r[2] for r in kernels.edge_betweenness(make("abcde", es)).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_communities_cover_every_node_once(make):
     es = [("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "f"), ("d", "f"), ("c", "d")]
     g = make("abcdefz", es)
