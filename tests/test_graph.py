@@ -139,6 +139,14 @@ def test_betweenness_has_no_bound_of_links(spark, make, monkeypatch):
     assert got == pytest.approx(want)
 
 
+def test_bridge_nodes_take_every_node_as_a_source(make, comm, monkeypatch):
+    names = [f"n{k:03d}" for k in range(503)]
+    es = [(names[501], names[0]), (names[500], names[501]), (names[502], names[501])]  # the last ids alone lead to others
+    got = {r["id"]: r["betweenness"] for r in kernels.bridge_nodes(make(names, es), comm((1, names[501]))).collect()}
+    # links: 1 from n501, 2 + 1 from n500 and n502
+    assert got == {names[501]: round((1 + 2 * 3) / (503 * 502), 9)}
+
+
 def test_communities_cover_every_node_once(make):
     es = [("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "f"), ("d", "f"), ("c", "d")]
     g = make("abcdefz", es)
