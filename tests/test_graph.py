@@ -176,6 +176,48 @@ def test_communities_are_the_same_at_every_size(make, monkeypatch):
 
 
 
+def test_rounds_that_repeat_are_left_out(monkeypatch):
+    import random
+
+    def plain(adj, rounds):  # the definition, every round of it
+        comm, deg, n = list(range(len(adj))), [len(x) for x in adj], len(adj)
+        m = sum(deg) / 2
+        for _ in range(rounds):
+            total = {c: float(sum(deg[u] for u in range(n) if comm[u] == c)) for c in set(comm)}
+            for u in range(n):
+                inside = {}
+                for v in adj[u]:
+                    inside[comm[v]] = inside.get(comm[v], 0) + 1
+                score = {c: k / m - total[c] * deg[u] / (2 * m * m) for c, k in inside.items()}
+                if score and max(score.values()) > 0:
+                    comm[u] = max(score, key=score.get)
+            fresh, changed = max(comm) + 1, False
+            for c in sorted(set(comm)):
+                own = [u for u in range(n) if comm[u] == c]
+                well = [u for u in own if sum(comm[v] == c for v in adj[u]) > 0.5 * max(1, deg[u])]
+                if well and len(well) < len(own) // 2:
+                    for u in well:
+                        comm[u] = fresh
+                    fresh, changed = fresh + 1, True
+            if not changed:
+                break
+        return comm
+
+    places = lambda comm: [sorted(set(comm)).index(c) for c in comm]
+    swept, count = [0], community._count_elements
+    monkeypatch.setattr(community, "_count_elements", lambda *x: (swept.__setitem__(0, swept[0] + 1), count(*x)))
+    fewer = 0
+    for seed in range(10):
+        rng, n = random.Random(seed), 60
+        es = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(240)}
+        adj = [sorted({a + b - u for a, b in es if u in (a, b)}) for u in range(n)]
+        swept[0] = 0
+        got = community.local_moving(dict(enumerate(adj)))
+        assert places([got[u] for u in range(n)]) == places(plain(adj, community.MAX_ROUNDS)), seed
+        fewer += plain(adj, 49) != plain(adj, 50) and swept[0] < 50 * n  # it would go on
+    assert fewer
+
+
 def test_inference(make, comm):
     g = make([("a", "Auth"), ("b", "Db"), ("c", "Router"), ("d", "auth", "docs/auth.md", "document")], [("a", "b", "imports"), ("b", "c", "imports"), ("x", "b", "imports")])
     assert {(r[0], r[1]) for r in infer.transitive_dependencies(g).collect()} == {("a", "c"), ("x", "c")}
