@@ -232,6 +232,25 @@ def test_inference(make, comm):
         infer.infer_edges(g, c, "other")
 
 
+def test_bridges_between_many_communities_are_not_shuffled(make, comm, monkeypatch):
+    monkeypatch.setattr(infer, "BRIDGE_BLOCK", 64)
+    names = [f"n{k:03d}" for k in range(150)]
+    es = [(names[0], x) for x in names[50:120:3]] + [(names[140], names[3]), (names[149], names[63])]
+    es += [("n001", "m", "imports"), ("m", "n070", "imports"), ("n080", "m", "imports")]
+    member = [(k, x) for k, x in enumerate(names)] + [(200, names[7]), (201, names[149]), (202, names[7])]  # two lead several
+    g, c = make([*names, "m"], es), comm(*member)
+    known = {x for e in es for x in (e[:2], e[1::-1])}
+    want = {(a, b) for i, a in member for j, b in member if i < j and a != b and (a, b) not in known}
+    bridges = infer.community_bridges(g, c)
+    got = [(r[0], r[1]) for r in bridges.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = bridges._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Aggregate" not in plan  # neither shuffled nor made distinct
+    other = {("n001", "n070"), ("n080", "n070")}
+    rows_ = [(r["source"], r["target"], r["relation"]) for r in infer.infer_edges(g, c).collect()]
+    assert len(rows_) == len(want | other) and {x[:2] for x in rows_ if x[2] == "depends_on"} == other and {x[:2] for x in rows_} == want | other
+
+
 def test_shared_context_skips_hubs(make):
     es = [(h, n) for n in "pq" for h in "xyz"] + [("hub", f"n{k:02d}") for k in range(65)]
     got = infer.shared_context(make([], es), 3).collect()
